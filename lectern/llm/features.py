@@ -124,3 +124,22 @@ def scored(df: DataFrame, model: bytes, score, threshold: float, id_col: str = "
 
     rows = df.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+
+
+def kept(df: DataFrame, model: bytes, score, keep, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, for which ``keep(scores)`` holds. Narrow."""
+    import pyarrow as pa
+
+    small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the number of hash buckets
+    at = df.columns.index(text_col)
+
+    def run(it):
+        import numpy as np
+
+        for b in it:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            if texts:
+                yield b.filter(pa.array(keep(np.concatenate([score(shared.value, texts[x:y]) for x, y in text_runs(texts)]))))
+
+    return df.mapInArrow(run, df.schema)

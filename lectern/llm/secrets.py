@@ -151,9 +151,10 @@ def step(p: Column) -> Column:
     return F.least(F.floor(-F.log10(_bounded(p)) * STEPS_PER_DECADE), F.lit(LAST_STEP)).cast("int")
 
 
-def _scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _scanned(df: DataFrame, id_col: str, text_col: str, whole_row: bool = False) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = df.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if whole_row else [F.col(id_col).alias("doc_id")]
+    out = df.select(*row, text.alias("text"))
     out = out.withColumns({f"__{k}": _located(F.col("text"), p, i, g, least) for i, (k, (p, g, least)) in enumerate(BASE.items())})
     out = out.withColumn("base", F.array_sort(F.concat(*(F.col(f"__{k}") for k in BASE))))
     wide = _located(F.col("text"), CANDIDATE, 3, 0, BANDS[0][0])
@@ -182,7 +183,10 @@ def thresholds(scanned: DataFrame) -> dict[int, int]:
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text, base, found)``: spans of the patterns, and all spans, as sorted arrays of structs."""
-    scanned = _scanned(df, id_col, text_col)
+    return _found(_scanned(df, id_col, text_col))
+
+
+def _found(scanned: DataFrame) -> DataFrame:
     limits = thresholds(scanned)
 
     def random(c):
@@ -192,7 +196,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         return c["p"].isNotNull() & (step(c["p"]) < first)
 
     added = F.transform(F.filter("candidates", random), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop")))
-    return scanned.select("doc_id", "text", "base", F.array_sort(F.concat("base", added)).alias("found"))
+    return scanned.select(scanned.columns[0], "text", "base", F.array_sort(F.concat("base", added)).alias("found"))
 
 
 def span_text(spans: Column) -> Column:
@@ -217,3 +221,20 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
     rest = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, take, rest)).otherwise(text)
+
+
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """The rows of ``df`` with their secrets replaced; ``size_col``, if there, follows the text where it changed."""
+    out = _found(_scanned(df, id_col, text_col, whole_row=True)).withColumn("clean", redacted(F.col("text"), F.col("found")))
+    hit = F.size("found") > 0
+    kind = dict(df.dtypes)
+
+    def column(c):
+        old = F.col(f"row.`{c}`")
+        if c == text_col:
+            return F.when(hit, F.col("clean")).otherwise(old).alias(c)
+        if c == size_col:
+            return F.when(hit, F.length("clean").cast(kind[c])).otherwise(old).alias(c)
+        return old.alias(c)
+
+    return out.select(*(column(c) for c in df.columns))

@@ -64,7 +64,7 @@ def fingerprint(text: str | None, words: int) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint as a signed long. Narrow."""
+    """``(doc_id, text_hash, fp)`` with the fingerprint as a signed long. Narrow."""
     import pyarrow as pa
 
     small_batches(df.sparkSession)
@@ -73,9 +73,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(it):
         for batch in it:
             fp = [fingerprint(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x - (1 << 64) if x >> 63 else x for x in fp], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x - (1 << 64) if x >> 63 else x for x in fp], pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, fp long")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, f"doc_id {id_type}, text_hash long, fp long")
 
 
 def block_masks(blocks: int, distance: int = DISTANCE, bits: int = BITS) -> list[int]:
@@ -204,17 +204,38 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, run_limit:
     return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` for every row of ``df``.
-
-    The smallest id reachable stands for a component (null if none of its rows has an id).
-    """
+def _components(df: DataFrame, id_col: str, text_col: str, words: int, distance: int, run_limit: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' fingerprints, and ``(fp, component_id)`` of every fingerprint."""
     prints, _ = materialise(fingerprints(df, id_col, text_col, words), "fingerprints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots, _ = materialise(connected_components(fingerprint_links(first.select("fp"), distance, run_limit)), "roots")
     linked = roots.join(first, roots["node"] == first["fp"]).select("fp", "root", "first_id")
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("low"))
-    moved = linked.join(lowest, "root").select("fp", "low")
-    component = first.join(moved, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"))
+    moved = linked.join(lowest, "root").select("fp", "root", "low")
+    component = first.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("low", "first_id").alias("component_id"))
+    return prints, component
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` for every row of ``df``.
+
+    The smallest id reachable stands for a component (null if none of its rows has an id).
+    """
+    prints, component = _components(df, id_col, text_col, words, distance, run_limit)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(component, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """One row of each component, that of the smallest (id, text hash), with all columns as they are.
+
+    Of rows that repeat both id and text one is kept.
+    """
+    prints, component = _components(df, id_col, text_col, words, distance, run_limit)
+    same = prints.groupBy("doc_id", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
+    best = same.join(component, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("k"))
+    best = best.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"), F.col("k.n").alias("__n"))
+    hit = df.join(best, df[id_col].eqNullSafe(best["__id"]) & (F.xxhash64(df[text_col]) == best["__hash"]))
+    rows = [df[c] for c in df.columns]
+    once = hit.where("__n = 1").select(*rows)
+    return once.union(hit.where("__n > 1").dropDuplicates(["__id", "__hash"]).select(*rows))
