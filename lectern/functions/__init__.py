@@ -1,0 +1 @@
+"""Scalar functions over text columns."""

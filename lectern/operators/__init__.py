@@ -1,0 +1 @@
+"""Alignment, table scoring and duplicate detection."""

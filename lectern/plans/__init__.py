@@ -1,0 +1 @@
+"""Evaluation and report plans."""

@@ -1,0 +1 @@
+"""Evaluation of parser outputs as they arrive."""
