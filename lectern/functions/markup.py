@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,8 +104,6 @@ def body_text(raw: Column) -> Column:
 
 def html_matrix(html: Column) -> Column:
     """Rows of the first table of a segment. Broken markup needs a parser: an Arrow UDF."""
-    import pandas as pd
-
     @F.pandas_udf(MATRIX)
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else matrix_of_html(t))
@@ -113,12 +112,24 @@ def html_matrix(html: Column) -> Column:
 
 
 def trimmed(matrix: Column) -> Column:
-    """Without blank rows and columns, inner ones too; ragged rows are filled with blanks."""
-    rows = F.filter(matrix, lambda r: F.exists(r, lambda c: c != ""))
-    width = F.aggregate(rows, F.lit(0), lambda w, r: F.greatest(w, F.size(r)))
+    """Without blank rows and columns, inner ones too; ragged rows are filled with blanks.
+
+    One-element arrays carry the kept rows and columns from step to step, so that each is computed once.
+    """
     cell = lambda r, i: F.coalesce(F.get(r, i), F.lit(""))
-    keep = F.filter(F.sequence(F.lit(0), width - 1), lambda i: F.exists(rows, lambda r: cell(r, i) != ""))
-    return F.when(F.size(rows) > 0, F.transform(rows, lambda r: F.transform(keep, lambda i: cell(r, i)))).otherwise(F.expr(f"cast(array() as {MATRIX})"))
+    blank = F.lit("")
+
+    def width(rows):
+        return F.struct(rows.alias("rows"), F.array_max(F.transform(rows, lambda r: F.size(r))).alias("width"))
+
+    def columns(s):
+        keep = F.filter(F.sequence(F.lit(0), F.greatest(s["width"], F.lit(1)) - 1), lambda i: F.exists(s["rows"], lambda r: cell(r, i) != blank))
+        return F.struct(s["rows"].alias("rows"), keep.alias("keep"))
+
+    state = F.array(F.filter(matrix, lambda r: F.exists(r, lambda c: c != blank)))
+    for step in (width, columns, lambda s: F.transform(s["rows"], lambda r: F.transform(s["keep"], lambda i: cell(r, i)))):
+        state = F.transform(state, step)
+    return F.element_at(state, 1)
 
 
 def cleaned(matrix: Column) -> Column:

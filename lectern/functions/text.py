@@ -11,6 +11,7 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,8 +85,6 @@ PROFILES = {
 
 def nfkc(text: Column) -> Column:
     """NFKC. Spark has no expression for it: an Arrow UDF, or the JVM's normaliser from a SQL session where it may be called."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))

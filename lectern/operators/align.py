@@ -11,6 +11,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,8 +135,6 @@ def error_rate(pred: str, gt: str, profile_tokenizer: str = "eojeol", options: O
 
 def wer(pred: Column, gt: Column, profile_tokenizer: str = "eojeol", options: Options | None = Options()) -> Column:
     """The same as a column: null where either text is null."""
-    import pandas as pd
-
     tokenizer(profile_tokenizer)
 
     @F.pandas_udf(WER)
@@ -149,11 +148,19 @@ def wer(pred: Column, gt: Column, profile_tokenizer: str = "eojeol", options: Op
 
 def native_distance(a: Column, b: Column) -> Column:
     """Total edit distance of two token arrays without Python: each distinct token of the pair becomes one character."""
-    words = F.array_distinct(F.concat(a, b))
     char = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 65536), 8, "0")), "UTF-32")
-    names = F.when(F.size(words) > 0, F.map_from_arrays(words, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), char)))
-    text = lambda t: F.when(F.size(t) > 0, F.array_join(F.transform(t, lambda w: F.element_at(names, w)), "")).otherwise(F.lit(""))
-    return F.levenshtein(text(a), text(b))
+
+    def named(s):
+        words = F.array_distinct(F.concat(s["a"], s["b"]))
+        codes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), char)
+        return F.struct(s["a"].alias("a"), s["b"].alias("b"), F.map_from_arrays(words, F.slice(codes, F.lit(1), F.size(words))).alias("names"))
+
+    def compared(s):
+        text = lambda t: F.array_join(F.transform(t, lambda w: F.element_at(s["names"], w)), "")
+        return F.levenshtein(text(s["a"]), text(s["b"]))
+
+    # a one-element array carries the names, so that they are computed once and not for every token
+    return F.element_at(F.transform(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), named), compared), 1)
 
 
 # lines
@@ -189,8 +196,6 @@ def relaxed(pred: str, gt: str) -> tuple[str, list[dict]]:
 
 def relaxed_lines(pred: Column, gt: Column) -> Column:
     """:func:`relaxed` as a struct of the text and the log."""
-    import pandas as pd
-
     @F.pandas_udf("struct<text:string,log:array<struct<kind:string,`from`:array<string>,`to`:array<string>>>>")
     def run(p: pd.Series, g: pd.Series) -> pd.DataFrame:
         rows = [(None, None) if a is None or b is None else relaxed(a, b) for a, b in zip(p, g, strict=True)]
@@ -297,8 +302,6 @@ SLIDES = "struct<wer:double,aligned:boolean,pairs:array<struct<gt_idx:int,pred_i
 
 def slide_wer(gt: Column, pred: Column, profile_tokenizer: str = "eojeol", options: Options = Options()) -> Column:
     """:func:`slide_error_rate` of an array of slides and a text."""
-    import pandas as pd
-
     @F.pandas_udf(SLIDES)
     def run(g: pd.Series, p: pd.Series) -> pd.DataFrame:
         none = {"wer": None, "aligned": None, "pairs": None}

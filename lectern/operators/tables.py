@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +70,6 @@ def _lists(m) -> list[list[str]]:
 
 def table_similarity(pred: Column, gt: Column) -> Column:
     """:func:`teds` of two matrix columns."""
-    import pandas as pd
-
     @F.pandas_udf(TEDS)
     def run(p: pd.Series, g: pd.Series) -> pd.DataFrame:
         none = {"teds_content": None, "edit_distance": None, "max_nodes": None}
@@ -82,8 +81,6 @@ def table_similarity(pred: Column, gt: Column) -> Column:
 
 def mean_table_similarity(pred: Column, gt: Column) -> Column:
     """:func:`average_teds` of two columns of tables."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(p: pd.Series, g: pd.Series) -> pd.Series:
         return pd.Series([None if a is None or b is None else average_teds([_lists(t) for t in a], [_lists(t) for t in b]) for a, b in zip(p, g, strict=True)], dtype="float64")
@@ -93,8 +90,6 @@ def mean_table_similarity(pred: Column, gt: Column) -> Column:
 
 def cell_similarity(gt: Column, pred: Column) -> Column:
     """:func:`similarity`; equal cells never reach Python's matcher."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(g: pd.Series, p: pd.Series) -> pd.Series:
         return pd.Series([similarity(a or "", b or "") for a, b in zip(g, p, strict=True)], dtype="float64")

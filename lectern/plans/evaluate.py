@@ -7,6 +7,7 @@ Cost grows with the product of both lengths, so rows are dealt by hash of docume
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ def score(kind: str, text: str, slides, gt_tables, pred: dict, profile: Profile)
 
 def scores(gt: DataFrame, pred: DataFrame, profile: str = "default") -> DataFrame:
     """``doc_id, stage, type, dual_gt, wer, teds``: both null where a stage has no output or no ground truth."""
-    import pandas as pd
-
     p = PROFILES[profile]
     tokenizer(p.tokenizer)
 
@@ -157,8 +156,6 @@ def _lateral(name: str, *cols: str) -> DataFrame:
 
 def repeated(text: Column, tabs: Column) -> Column:
     """The lines of a text that repeat its tables, in one Arrow pass per document."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def run(t: pd.Series, m: pd.Series) -> pd.Series:
         return pd.Series([repeated_lines_of(a or "", _rows(b)) for a, b in zip(t, m, strict=True)])

@@ -6,6 +6,7 @@ import difflib
 import html
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,8 +161,6 @@ def _whole(title: str, parts: list[str]) -> str:
 
 def pages(gt: DataFrame, pred: DataFrame, wide: DataFrame) -> DataFrame:
     """``doc_id, html`` of every document of ``wide`` (see :func:`.evaluate.per_document`)."""
-    import pandas as pd
-
     both = gt.where("text is not null").join(pred, ["doc_id", "stage"]).withColumn("out", parsed(F.col("raw")))
     side = F.struct("stage", F.col("text").alias("gt"), F.col("tables").alias("gt_tables"), F.col("out.text").alias("pred"), F.col("out.tables").alias("tables"), F.col("out.sheets").alias("sheets"))
     docs = both.groupBy("doc_id", "type").agg(F.sort_array(F.collect_list(side)).alias("sides"))  # two stages at most

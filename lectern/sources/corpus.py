@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +62,6 @@ def units(bundled: DataFrame) -> DataFrame:
 
 def extracted(content: Column, ext: Column) -> Column:
     """Text, slides and tables of office files."""
-    import pandas as pd
-
     @F.pandas_udf(ooxml.EXTRACTED)
     def run(c: pd.Series, e: pd.Series) -> pd.DataFrame:
         none = {"text": None, "slides": None, "tables": None}
@@ -73,8 +72,6 @@ def extracted(content: Column, ext: Column) -> Column:
 
 def parsed(raw: Column) -> Column:
     """A parser's output as its text and its tables (``tables`` for pairing, ``sheets`` without empty ones)."""
-    import pandas as pd
-
     from ..functions.markup import split_output
 
     m = "array<array<array<string>>>"
