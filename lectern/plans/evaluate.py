@@ -102,7 +102,7 @@ def sheet_units(gt: DataFrame, pred: DataFrame) -> DataFrame:
     from ..functions.markup import cleaned
 
     empty = F.expr("cast(array() as array<array<string>>)")
-    g = gt.where("type = 'xlsx'").select("doc_id", "stage", F.posexplode("tables").alias("unit", "g"))
+    g = gt.where("type = 'xlsx'").join(pred, ["doc_id", "stage"], "left_semi").select("doc_id", "stage", F.posexplode("tables").alias("unit", "g"))
     p = pred.join(gt.where("type = 'xlsx'").select("doc_id", "stage"), ["doc_id", "stage"]).select("doc_id", "stage", F.posexplode(parsed(F.col("raw"))["sheets"]).alias("unit", "p"))
     both = g.join(p, ["doc_id", "stage", "unit"], "full").select("doc_id", "stage", "unit", cleaned(F.coalesce("g", empty)).alias("g"), cleaned(F.coalesce("p", empty)).alias("p")).where("size(g) > 0 or size(p) > 0")
     return both.select("doc_id", "stage", "unit", tables.table_similarity(F.col("p"), F.col("g"))["teds_content"].alias("teds"), F.size("g").alias("n_gt_rows"), F.size("p").alias("n_pred_rows"))
@@ -145,12 +145,9 @@ def diagnosis(gt: DataFrame, pred: DataFrame, doc_id: str, stage: str, max_lines
 
 
 def _lateral(name: str, *cols: str) -> DataFrame:
-    from pyspark.sql import SparkSession
-
     from ..operators import align as a
 
     cls, schema = {"token_alignment": (a.TokenAlignment, "seq int, op string, gt_token string, pred_token string"), "line_diff": (a.LineDiff, "seq int, tag string, gt_line string, pred_line string"), "three_way": (a.ThreeWay, "seq int, gt string, before string, after string")}[name]
-    SparkSession.active()
     return F.udtf(cls, returnType=schema)(*(F.col(c).outer() for c in cols))
 
 
