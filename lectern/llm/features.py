@@ -103,7 +103,8 @@ def train(sample: DataFrame, extract, fit) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array([fit(xs, ys)], pa.binary())], names=["model"])
 
     x = sample.mapInArrow(features, "x binary, label int, order long")
-    return bytes(x.repartition(1).sortWithinPartitions("order", "label").mapInArrow(learn, "model binary").first()["model"])
+    row = x.repartition(1).sortWithinPartitions("order", "label").mapInArrow(learn, "model binary").first()
+    return bytes(row["model"]) if row else fit([], [])  # an empty sample may never reach a task
 
 
 def scored(df: DataFrame, model: bytes, score, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

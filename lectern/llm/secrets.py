@@ -39,7 +39,7 @@ ENCODINGS = (
     ("base64url", r"^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
 #: Bands of length: least length, rate of the procedure.
-BANDS = ((20, 0.5), (32, 0.3), (48, 0.1), (96, 0.05))
+BANDS = ((20, 0.2), (32, 0.1), (48, 0.05), (96, 0.02))
 STEPS_PER_DECADE, LAST_STEP = 20, 400
 
 

@@ -22,8 +22,12 @@ BITS = 20
 RANK = 4
 SAMPLE_ROWS = 12_000
 ACTIVE = 8192
-LEAST_DOCS = 3
+LEAST_DOCS = 4
+#: Standard errors from the base rate that a term must be to count as associated.
+LEAST_Z = 3.0
 EPOCHS = 3
+#: Examples visited at least: small samples are gone through more often.
+STEPS = 30_000
 THRESHOLD = 0.5
 #: Weight of a toxic example in training: they are few.
 POSITIVE_WEIGHT = 8.0
@@ -63,7 +67,7 @@ def learn(xs: list[bytes], ys: list[int], rank: int = RANK, active: int = ACTIVE
     base = ones / total
     z = np.where(df >= LEAST_DOCS, np.abs(pos - df * base) / np.sqrt(np.maximum(df, 1) * base * (1 - base)), 0)
     at = np.sort(np.argsort(-z, kind="stable")[:active])
-    at = at[z[at] > 0]
+    at = at[z[at] >= LEAST_Z]
     slot = np.full(1 << BITS, -1)
     slot[at] = np.arange(len(at))
     rows = [s[s >= 0] for s in (slot[r] for r in rows)]
@@ -75,6 +79,7 @@ def learn(xs: list[bytes], ys: list[int], rank: int = RANK, active: int = ACTIVE
     v = np.random.default_rng(seed).normal(0, 0.02, (k, rank))
     gv = np.ones((k, rank))
     order = np.random.default_rng(seed + 1)
+    epochs = max(epochs, -(-STEPS // total))
     for epoch in range(epochs + 1):
         pairs = epoch > 0  # the first pass is linear
         for j in order.permutation(total):
