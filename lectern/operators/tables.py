@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,34 +14,47 @@ from ..functions.markup import normalized_cell
 TEDS = "struct<teds_content:double,edit_distance:double,max_nodes:int>"
 
 
+@lru_cache(maxsize=100_000)
 def similarity(gt: str, pred: str) -> float:
     """Share of matching characters; the order of the two matters. Two blanks are equal."""
     return 1.0 if gt == pred else SequenceMatcher(None, gt, pred).ratio()
 
 
 def _fold(a: list, b: list, drop, add, change) -> float:
-    """Least cost of turning sequence ``a`` into ``b``, two rows at a time."""
+    """Least cost of turning sequence ``a`` into ``b``, two rows at a time.
+
+    Equal ends are matched outright: leaving one out instead costs at least as much, since changing an
+    element costs at least the difference of the two weights. ``change`` is only asked where it can still win.
+    """
+    start, n = 0, min(len(a), len(b))
+    while start < n and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < n - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    grow = [add(y) for y in b]
     row = [0.0]
-    for y in b:
-        row.append(row[-1] + add(y))
+    for g in grow:
+        row.append(row[-1] + g)
     for x in a:
         gone = drop(x)
         new = [row[0] + gone]
         for j, y in enumerate(b):
-            new.append(min(row[j] + change(x, y), row[j + 1] + gone, new[j] + add(y)))
+            best = min(row[j + 1] + gone, new[j] + grow[j])
+            if row[j] < best:
+                best = min(best, row[j] + change(x, y))
+            new.append(best)
         row = new
     return row[-1]
 
 
 def table_distance(gt: list[list[str]], pred: list[list[str]]) -> float:
-    """Row by row, and cell by cell within rows. Equal rows cost nothing; similarities are remembered per table."""
-    known: dict[tuple[str, str], float] = {}
+    """Row by row, and cell by cell within rows. Equal rows cost nothing; similarities of cells are remembered."""
     one = lambda _: 1.0
 
     def cells(a, b):
-        if (a, b) not in known:
-            known[a, b] = 1.0 - similarity(a, b)
-        return known[a, b]
+        return 1.0 - similarity(a, b)
 
     def rows(a, b):
         return 0.0 if a == b else _fold(a, b, one, one, cells)
