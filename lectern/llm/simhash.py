@@ -213,7 +213,8 @@ def _components(df: DataFrame, id_col: str, text_col: str, words: int, distance:
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("low"))
     moved = linked.join(lowest, "root").select("fp", "root", "low")
     component = first.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("low", "first_id").alias("component_id"))
-    return prints, component
+    # read back, the join of documents with it has a plain scan on both sides, and a fingerprint with very many copies can be split
+    return prints, materialise(component, "components")[0]
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
