@@ -21,7 +21,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import MEMO_CHARS, small_batches
 
 MEMO_ENTRIES = 400_000
 #: Below this code point, Python, the `regex` module and the tokenizers library agree on case and classes.
@@ -173,6 +173,9 @@ class PairIndexBpe:
         words = self._words
         for c, ws in split.items():
             self._chunks[c] = words[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in words[w])
+        for w in new:
+            if len(w[0] if isinstance(w, tuple) else w) > MEMO_CHARS:
+                del words[w]
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         if len(self._chunks) > MEMO_ENTRIES:
@@ -203,6 +206,9 @@ class PairIndexBpe:
                     for t in map(known.__getitem__, s):
                         ids += t
             out.append(ids)
+        for c in fresh:  # what is too long to be met again often
+            if len(c) > MEMO_CHARS:
+                del known[c]
         return out
 
     def decode(self, ids: list[int]) -> str:

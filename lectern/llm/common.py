@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch of documents: bounds what a Python worker holds when texts are very long.
 DOC_BATCH_ROWS = 512
+#: Longest chunk of text, in characters, that a worker memoises: texts without spaces would fill the memory.
+MEMO_CHARS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

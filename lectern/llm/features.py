@@ -8,7 +8,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import MEMO_CHARS, held_out, small_batches
 
 MEMO_ENTRIES = 400_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -29,7 +29,9 @@ def word_hashes(texts: list[str]):
         for chunk in text.split():
             x = get(chunk)
             if x is None:
-                x = _memo[chunk] = array.array("I", [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in _TOKEN.findall(chunk.lower())]).tobytes()
+                x = array.array("I", [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in _TOKEN.findall(chunk.lower())]).tobytes()
+                if len(chunk) <= MEMO_CHARS:
+                    _memo[chunk] = x
             out.append(x)
             n += len(x)
         sizes.append(n // 4)

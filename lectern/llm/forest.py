@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, discard, materialise
 from .vectors import matrix, usable
 
 COSINE = 0.98
@@ -152,7 +152,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     sampled = reps.join(sizes, ["label", "dim"]).withColumn("share", F.lit(float(sample)) / F.col("n"))
     sampled = sampled.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("label", "dim", "v", "share")
     model = sampled.groupBy("label", "dim").applyInPandas(grow, f"{head}, tree int, nodes binary, cuts binary")
-    model, _ = materialise(model, "trees")
+    model, trees_path = materialise(model, "trees")
 
     parts = sizes.withColumn("parts", F.ceil(F.col("n") / ROUTE_ROWS).cast("int")).drop("n")
     left = reps.join(parts, ["label", "dim"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts")
@@ -179,7 +179,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         return pd.DataFrame({"label": key[0], "dim": key[1], "key": k, "rep": a["rep"].to_numpy()[r], "mult": a["mult"].to_numpy()[r], "v": [a["v"].iloc[i] for i in r], "leaves": [mine[i] for i in r]})
 
     sent = left.groupBy("label", "dim", "part").cogroup(right.groupBy("label", "dim", "part")).applyInPandas(send, f"{head}, key long, rep {kind['rep']}, mult long, v {kind['v']}, leaves binary")
-    sent, _ = materialise(sent, "leaves")
+    sent, leaves_path = materialise(sent, "leaves")
+    discard(df.sparkSession, trees_path)
 
     place = ["label", "dim", "key"]
     blocks = sent.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
@@ -197,6 +198,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         return pd.DataFrame({"kind": [0] * len(counts) + [1] * len(edges), "a": [r[0] for r in counts] + [r[0] for r in edges], "b": [r[1] for r in counts] + [r[1] for r in edges]}).astype({"kind": "int32", "a": "int64", "b": "int64"})
 
     found, _ = materialise(pairs.groupBy(*place, "i", "j").applyInPandas(compare, "kind int, a long, b long"), "links")
+    discard(df.sparkSession, leaves_path)
     links = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     roots = connected_components(found.where("kind = 1")).select(F.col("node").alias("rep"), "root")
     info = reps.join(links, "rep", "left").join(roots, "rep", "left")

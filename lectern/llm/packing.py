@@ -19,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import MEMO_CHARS, small_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -74,7 +74,9 @@ class ByteBpe:
         for w in rest:
             x = get(w)
             if x is None:
-                x = memo[w] = self._pack(plain(" " + w))
+                x = self._pack(plain(" " + w))
+                if len(w) <= MEMO_CHARS:
+                    memo[w] = x
             out.append(x)
         return b"".join(out)
 

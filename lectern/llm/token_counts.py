@@ -21,7 +21,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import MEMO_CHARS, small_batches
 
 CHUNK = 16_384
 OVERLAP = 256
@@ -58,7 +58,9 @@ class PieceCounter:
         return [r[1:] for r in _RUN.findall(" " + text)]
 
     def _one(self, run: str) -> int:
-        n = self._memo[run] = len(self._sp.encode(run)) if run else 1  # a space alone
+        n = len(self._sp.encode(run)) if run else 1  # a space alone
+        if len(run) <= MEMO_CHARS:
+            self._memo[run] = n
         return n
 
     def whole(self, text: str) -> int:

@@ -103,3 +103,17 @@ def test_token_counts(docs, rows, empty):
     want = collections.Counter((i, len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 4096) for i, t, *_ in rows)
     assert collections.Counter(map(tuple, token_counts.count_tokens(docs, chunk=2000, overlap=50).collect())) == want
     assert token_counts.count_tokens(empty).count() == 0
+
+
+def test_memo_leaves_long_chunks_out():
+    from lectern.llm import features
+    from lectern.llm.common import MEMO_CHARS
+
+    long = "語" * 5000 + " " + "x9" * 4000 + " short"
+    enc, mine, c = packing.encoder("byte_bpe_50k.tiktoken"), bpe.codec("word_bpe_49k.json"), token_counts.counter("piece_bpe_32k.model")
+    enc.ids(long)
+    mine.encode_batch([long, long])
+    c.count(long)
+    features.word_hashes([long])
+    for memo in (enc._memo, mine._chunks, mine._words, c._memo, features._memo):
+        assert memo and max(len(k[0]) if isinstance(k, tuple) else len(k) for k in memo) <= MEMO_CHARS
