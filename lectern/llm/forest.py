@@ -28,6 +28,8 @@ COSINE = 0.98
 TREES = 8
 SPILL = 0.01
 LEAF = 256
+#: A node of which both children would keep more than this share is a leaf: its vectors lie within the spill of each other.
+TIGHT = 0.65
 SAMPLE = 16_384
 BLOCK = 2048
 ROUTE_ROWS = 4096
@@ -60,7 +62,7 @@ def fit_tree(x, tree: int, leaf: int, spill: float) -> dict[int, float]:
         p = x[rows] @ _direction(tree, node, x.shape[1])
         cut = float(np.median(p))
         low, high = rows[p <= cut + spill], rows[p >= cut - spill]
-        if min(len(low), len(high)) > 0.9 * len(rows) or max(len(low), len(high)) == len(rows):
+        if min(len(low), len(high)) > TIGHT * len(rows) or max(len(low), len(high)) == len(rows):
             continue  # a tight group: splitting it would only copy it
         cuts[node] = cut
         todo += [(2 * node, low), (2 * node + 1, high)]
