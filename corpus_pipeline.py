@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import features, packing, quality, secrets, simhash, toxicity
+from lectern.llm import features, packing, quality, secrets, sketch, toxicity
 from lectern.llm.common import materialise, table
 
 
@@ -21,8 +21,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near copies (about 0.8 of the five-word shingles shared) stays, that with the smallest id."""
+    return sketch.deduplicated(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

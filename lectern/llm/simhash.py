@@ -204,35 +204,23 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, run_limit:
     return out
 
 
-def _components(df: DataFrame, id_col: str, text_col: str, words: int, distance: int, run_limit: int) -> tuple[DataFrame, DataFrame]:
-    """The documents' fingerprints, and ``(fp, component_id)`` of every fingerprint."""
-    prints, _ = materialise(fingerprints(df, id_col, text_col, words), "fingerprints")
+def components_of(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """``(fp, root, component_id)`` of every fingerprint in ``prints``, from the links ``(a, b)`` between them."""
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots, _ = materialise(connected_components(fingerprint_links(first.select("fp"), distance, run_limit)), "roots")
+    roots, _ = materialise(connected_components(links), "roots")
     linked = roots.join(first, roots["node"] == first["fp"]).select("fp", "root", "first_id")
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("low"))
     moved = linked.join(lowest, "root").select("fp", "root", "low")
     component = first.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("low", "first_id").alias("component_id"))
     # read back, the join of documents with it has a plain scan on both sides, and a fingerprint with very many copies can be split
-    return prints, materialise(component, "components")[0]
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` for every row of ``df``.
-
-    The smallest id reachable stands for a component (null if none of its rows has an id).
-    """
-    prints, component = _components(df, id_col, text_col, words, distance, run_limit)
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(component, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return materialise(component, "components")[0]
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
+def representatives(df: DataFrame, prints: DataFrame, component: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, that of the smallest (id, text hash), with all columns as they are.
 
     Of rows that repeat both id and text one is kept.
     """
-    prints, component = _components(df, id_col, text_col, words, distance, run_limit)
     same = prints.groupBy("doc_id", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
     best = same.join(component, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("k"))
     best = best.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"), F.col("k.n").alias("__n"))
@@ -240,3 +228,24 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = [df[c] for c in df.columns]
     once = hit.where("__n = 1").select(*rows)
     return once.union(hit.where("__n > 1").dropDuplicates(["__id", "__hash"]).select(*rows))
+
+
+def _components(df: DataFrame, id_col: str, text_col: str, words: int, distance: int, run_limit: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' fingerprints, and ``(fp, root, component_id)`` of every fingerprint."""
+    prints, _ = materialise(fingerprints(df, id_col, text_col, words), "fingerprints")
+    return prints, components_of(prints, fingerprint_links(prints.select("fp").distinct(), distance, run_limit))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` for every row of ``df``.
+
+    The smallest id reachable stands for a component (null if none of its rows has an id).
+    """
+    prints, component = _components(df, id_col, text_col, words, distance, run_limit)
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return prints.join(component, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """One row of each component: see :func:`representatives`."""
+    return representatives(df, *_components(df, id_col, text_col, words, distance, run_limit), id_col, text_col)
