@@ -5,8 +5,9 @@ Here a text's distinct shingles of ``WORDS`` words give ``BITS`` bits, of which
 share of at most acos(2J / (1 + J)) / pi: 15.2 % at 0.8. The fingerprint is cut into blocks of one byte; ``KEYS``
 triples of blocks are keys, and fingerprints that share a key are compared. A pair at 0.8 shares one with probability
 0.98, one at 0.85 with 0.9997. Runs of a key are compared by the first 128 bits; short runs give their pairs,
-longer ones a minimum spanning tree, so that links grow with the members. Those are verified by all bits: a
-link has at most ``DISTANCE`` differing ones. A run over ``RUN_LIMIT`` is compared in pairs of blocks of
+longer ones a minimum spanning tree. Those are verified by all bits: a link has at most ``DISTANCE`` differing
+ones. The first ``FIRST_KEYS`` keys go first; what they link counts as joined in the runs of the others, which only
+give links between different components: so links grow with the members of a group, not with members times keys. A run over ``RUN_LIMIT`` is compared in pairs of blocks of
 members, each a task of its own; nothing is capped.
 
 Fingerprints that agree in their first 128 bits are one node (at a similarity of 0.8, one pair in 10**9 does).
@@ -20,12 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import connected_components, materialise, small_batches
 from .simhash import components_of, representatives, shingle_hashes
 
 WORDS = 5
 BITS = 1024
 KEYS = 210
+FIRST_KEYS = 14
 #: The share at similarity 0.8 is 155 bits with a standard deviation of 11.5.
 DISTANCE = 166
 #: The same in the first 128 bits, with four standard deviations to spare.
@@ -106,8 +108,11 @@ def triples(keys: int = KEYS):
     return np.array(out[:keys])
 
 
-def _near_tree(x, distance: int):
-    """A minimum spanning forest, as index pairs, of the links within ``x`` (rows of lanes). Row by row: memory is linear."""
+def _near_tree(x, group, distance: int):
+    """The links of a minimum spanning forest of ``x`` (rows of lanes), as index pairs; equal ``group``: joined already.
+
+    Row by row: memory is linear.
+    """
     import numpy as np
 
     n = len(x)
@@ -116,55 +121,61 @@ def _near_tree(x, distance: int):
     for _ in range(n - 1):
         left[u] = False
         d = np.bitwise_count(x ^ x[u]).sum(1, dtype=np.int64)
+        d[group == group[u]] = -1
         closer = left & (d < best)
         best[closer], via[closer] = d[closer], u
         u = int(np.argmin(np.where(left, best, 1 << 21)))
-        if best[u] <= distance:
+        if 0 <= best[u] <= distance:
             edges.append((int(via[u]), u))
     return edges
 
 
-def _run_links(key, x, distance: int):
-    """Index pairs of links within runs of equal, sorted keys."""
+def _run_links(key, x, group, distance: int):
+    """Index pairs of links within runs of equal, sorted keys, between different groups."""
     import numpy as np
 
     bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     size = np.diff(bounds)
     each = np.repeat(size, size)
     keep = np.flatnonzero((each > 1) & (each <= _SHORT))
-    k, y = key[keep], x[keep]
+    k, y, g = key[keep], x[keep], group[keep]
     out = []
     for s in range(1, _SHORT):
         same = np.flatnonzero(k[s:] == k[:-s])
         if not len(same):
             break
+        same = same[g[same] != g[same + s]]
         same = same[np.bitwise_count(y[same] ^ y[same + s]).sum(1) <= distance]
         out.append(np.stack((keep[same], keep[same + s]), 1))
     for i in np.flatnonzero(size > _SHORT):
-        e = _near_tree(x[bounds[i] : bounds[i + 1]], distance)
+        e = _near_tree(x[bounds[i] : bounds[i + 1]], group[bounds[i] : bounds[i + 1]], distance)
         if e:
             out.append(np.array(e) + bounds[i])
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def candidates(nodes: DataFrame, distance: int = FIRST_DISTANCE, keys: int = KEYS, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """Pairs ``(a, b)`` of distinct nodes that share a key and are close in their first lanes; ``nodes`` has ``fp`` and ``lanes``."""
+def candidates(nodes: DataFrame, keys: slice, distance: int = FIRST_DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes of different groups that share one of ``keys`` and are close in their first lanes.
+
+    ``nodes`` has ``lanes`` and ``joined``, a number that nodes of one group have in common.
+    """
     import pyarrow as pa
 
     def emit(it):
         import numpy as np
 
-        t = triples(keys)
+        t = triples()[keys]
         for b in it:
             lanes = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, _LANES)
             blocks = lanes.astype(">i8").view(np.uint8).reshape(len(lanes), -1).astype(np.int64)
-            key = (np.arange(len(t)) << 24) | (blocks[:, t[:, 0]] << 16) | (blocks[:, t[:, 1]] << 8) | blocks[:, t[:, 2]]
+            key = (np.arange(KEYS)[keys] << 24) | (blocks[:, t[:, 0]] << 16) | (blocks[:, t[:, 1]] << 8) | blocks[:, t[:, 2]]
             for at in range(0, len(lanes), 64):
                 k = key[at : at + 64]
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *(pa.array(np.repeat(lanes[at : at + 64, j], k.shape[1])) for j in (0, 1))], names=["key", "a", "b"])
+                own = (*lanes[at : at + 64, :2].T, b.column(1).to_numpy()[at : at + 64])
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *(pa.array(np.repeat(c, k.shape[1])) for c in own)], names=["key", "a", "b", "g"])
 
     def rows(kind, key, p, q):
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(p), pa.int32()), pa.array(key), *(pa.array(c) for c in (p[:, 0], p[:, 1], q[:, 0], q[:, 1]))], names=["kind", "key", "a", "b", "c", "d"])
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(p), pa.int32()), pa.array(key), *(pa.array(c) for c in (p[:, 0], p[:, 1], p[:, 2], q[:, 0], q[:, 1]))], names=["kind", "key", "a", "b", "g", "c", "d"])
 
     def done(key, x):
         import numpy as np
@@ -175,17 +186,17 @@ def candidates(nodes: DataFrame, distance: int = FIRST_DISTANCE, keys: int = KEY
             yield rows(1, key[long], x[long], x[long])
             key, x = key[~long], x[~long]
         if len(key):
-            e = _run_links(key, x.view(np.uint64), distance)
+            e = _run_links(key, x[:, :2].view(np.uint64), x[:, 2], distance)
             if len(e):
                 yield rows(0, key[e[:, 0]], x[e[:, 0]], x[e[:, 1]])
 
     def compare(it):
         import numpy as np
 
-        key, x, over = np.zeros(0, np.int64), np.zeros((0, 2), np.int64), None
+        key, x, over = np.zeros(0, np.int64), np.zeros((0, 3), np.int64), None
         for b in it:
             key = np.concatenate((key, b.column(0).to_numpy()))
-            x = np.concatenate((x, np.stack((b.column(1).to_numpy(), b.column(2).to_numpy()), 1)))
+            x = np.concatenate((x, np.stack([b.column(i).to_numpy() for i in (1, 2, 3)], 1)))
             if over is not None:  # the rest of a run that is already known to be too long
                 n = int(np.searchsorted(key, over, "right"))
                 if n:
@@ -211,18 +222,18 @@ def candidates(nodes: DataFrame, distance: int = FIRST_DISTANCE, keys: int = KEY
         import pandas as pd
 
         x = pdf[["a", "b"]].to_numpy()
-        e = np.array(_near_tree(x.view(np.uint64), distance), np.int64).reshape(-1, 2)
+        e = np.array(_near_tree(x.view(np.uint64), pdf["g"].to_numpy(), distance), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": x[e[:, 0], 0], "b": x[e[:, 0], 1], "c": x[e[:, 1], 0], "d": x[e[:, 1], 1]})
 
-    keyed = nodes.select("lanes").mapInArrow(emit, "key long, a long, b long").repartition("key").sortWithinPartitions("key")
-    first, _ = materialise(keyed.mapInArrow(compare, "kind int, key long, a long, b long, c long, d long"), "candidates")
+    keyed = nodes.select("lanes", "joined").mapInArrow(emit, "key long, a long, b long, g long").repartition("key").sortWithinPartitions("key")
+    first, _ = materialise(keyed.mapInArrow(compare, "kind int, key long, a long, b long, g long, c long, d long"), "candidates")
     found = first.where("kind = 0").select("a", "b", "c", "d")
-    long = first.where("kind = 1").select("key", "a", "b")
+    long = first.where("kind = 1").select("key", "a", "b", "g")
     if long.limit(1).count():
         blocks = long.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / run_limit).cast("int").alias("blocks"))
         own = long.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int"))
         own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "a", "b")
+        pairs = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "a", "b", "g")
         found = found.union(pairs.groupBy("key", "i", "j").applyInPandas(across, "a long, b long, c long, d long"))
     return found.distinct().select(F.struct("a", "b").alias("a"), F.struct(F.col("c").alias("a"), F.col("d").alias("b")).alias("b"))
 
@@ -230,11 +241,18 @@ def candidates(nodes: DataFrame, distance: int = FIRST_DISTANCE, keys: int = KEY
 def links(prints: DataFrame, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
     """Verified links ``(a, b)`` between the nodes of ``prints``, which have the components of all links found."""
     nodes, _ = materialise(prints.groupBy("fp").agg(F.min("lanes").alias("lanes")), "nodes")
-    near = candidates(nodes, run_limit=run_limit)
     one = nodes.select(F.col("fp").alias("a"), F.col("lanes").alias("x"))
     two = nodes.select(F.col("fp").alias("b"), F.col("lanes").alias("y"))
     bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    return near.join(one, "a").join(two, "b").where(bits <= distance).select("a", "b")
+
+    def verified(known, keys):
+        near = candidates(known, keys, run_limit=run_limit)
+        return near.join(one, "a").join(two, "b").where(bits <= distance).select("a", "b")
+
+    first = verified(nodes.withColumn("joined", F.xxhash64("fp")), slice(0, FIRST_KEYS))
+    joined, _ = materialise(connected_components(first), "joined")
+    known = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "lanes", F.xxhash64(F.coalesce("root", "fp")).alias("joined"))
+    return joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(known, slice(FIRST_KEYS, KEYS)))
 
 
 def _components(df: DataFrame, id_col: str, text_col: str, words: int, distance: int, run_limit: int) -> tuple[DataFrame, DataFrame]:
