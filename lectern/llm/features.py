@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import MEMO_CHARS, held_out, small_batches
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _memo: dict[str, bytes] = {}
 

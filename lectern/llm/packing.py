@@ -26,7 +26,7 @@ END_ID = 1
 #: Pieces that one task packs at once, on average.
 GROUP_ROWS = 8192
 #: Memoised chunks a Python worker keeps.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 
 _GAP = re.compile(r"\s |\s\Z| \s|\A\s")
 _SPECIAL = "<|endoftext|>"
