@@ -21,7 +21,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (about 0.8 of the five-word shingles shared) stays, that with the smallest id."""
+    """One document of each group of near copies (linked by a Jaccard similarity of their five-word shingles of 0.8 or more) stays, that with the smallest id."""
     return sketch.deduplicated(docs)
 
 

@@ -1,16 +1,20 @@
-"""SimHash near-duplicates at a similarity: wide fingerprints, blocks of them as keys, Hamming distance.
+"""Near-duplicates at a similarity: candidates by wide SimHash fingerprints, links by exact similarity.
 
 A 64-bit fingerprint tells a similarity of 0.8 from one of 0.5 badly, and pairs at 0.8 differ in ten of its bits.
 Here a text's distinct shingles of ``WORDS`` words give ``BITS`` bits, of which a pair of similarity J differs in a
 share of at most acos(2J / (1 + J)) / pi: 15.2 % at 0.8. The fingerprint is cut into blocks of one byte; ``KEYS``
 triples of blocks are keys, and fingerprints that share a key are compared. A pair at 0.8 shares one with probability
-0.98, one at 0.85 with 0.9997. Runs of a key are compared by the first 128 bits; short runs give their pairs,
-longer ones a minimum spanning tree. Those are verified by all bits: a link has at most ``DISTANCE`` differing
-ones. The first ``FIRST_KEYS`` keys go first; what they link counts as joined in the runs of the others, which only
-give links between different components: so links grow with the members of a group, not with members times keys. A run over ``RUN_LIMIT`` is compared in pairs of blocks of
+0.966, one at 0.85 with 0.997 (in a model of 300 shingles). Runs of a key are compared by the first 128 bits; short runs give the pairs that are
+close there, longer ones their members with such a pair, of which a minimum spanning tree by all bits follows. A candidate has at most ``DISTANCE``
+differing bits. The first ``FIRST_KEYS`` keys go first; what they join counts as joined in the runs of the others, which only
+give candidates between different families: so candidates grow with the members of a family, not with members times keys. A run over ``RUN_LIMIT`` is compared in pairs of blocks of
 members, each a task of its own; nothing is capped.
 
-Fingerprints that agree in their first 128 bits are one node (at a similarity of 0.8, one pair in 10**9 does).
+Candidates only tell families, the components of candidate pairs. Within a family all distinct texts are compared by
+their sets of shingles, and a link is a pair whose Jaccard similarity is ``SIMILARITY`` or more. A family over
+``RUN_LIMIT`` texts or ``SHINGLES`` shingles is compared in pairs of blocks. Components are those of the links.
+
+Fingerprints that agree in their first 128 bits are one node of the search for families.
 
 Defined cases: null, empty and white-space texts have fingerprint zero and link with each other; texts with fewer
 words than a shingle count as one; repeated rows and null ids are treated as in :mod:`simhash`; other columns are kept.
@@ -28,11 +32,14 @@ WORDS = 5
 BITS = 1024
 KEYS = 210
 FIRST_KEYS = 14
-#: The share at similarity 0.8 is 155 bits with a standard deviation of 11.5.
-DISTANCE = 166
+SIMILARITY = 0.8
+#: For candidates. The share at similarity 0.8 is 155 bits with a standard deviation of 11.5.
+DISTANCE = 190
 #: The same in the first 128 bits, with four standard deviations to spare.
 FIRST_DISTANCE = 36
 RUN_LIMIT = 2048
+#: Of a family's block.
+SHINGLES = 1 << 20
 _SHORT = 8
 _LANES = BITS // 64
 
@@ -131,7 +138,7 @@ def _near_tree(x, group, distance: int):
 
 
 def _run_links(key, x, group, distance: int):
-    """Index pairs of links within runs of equal, sorted keys, between different groups."""
+    """Index pairs of close rows of different groups within runs of up to ``_SHORT`` equal, sorted keys, and the rows of longer runs that have such a pair."""
     import numpy as np
 
     bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
@@ -139,7 +146,7 @@ def _run_links(key, x, group, distance: int):
     each = np.repeat(size, size)
     keep = np.flatnonzero((each > 1) & (each <= _SHORT))
     k, y, g = key[keep], x[keep], group[keep]
-    out = []
+    out, rest = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
     for s in range(1, _SHORT):
         same = np.flatnonzero(k[s:] == k[:-s])
         if not len(same):
@@ -148,16 +155,17 @@ def _run_links(key, x, group, distance: int):
         same = same[np.bitwise_count(y[same] ^ y[same + s]).sum(1) <= distance]
         out.append(np.stack((keep[same], keep[same + s]), 1))
     for i in np.flatnonzero(size > _SHORT):
-        e = _near_tree(x[bounds[i] : bounds[i + 1]], group[bounds[i] : bounds[i + 1]], distance)
-        if e:
-            out.append(np.array(e) + bounds[i])
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        y, g = x[bounds[i] : bounds[i + 1]], group[bounds[i] : bounds[i + 1]]
+        if (g != g[0]).any():
+            rest.append(bounds[i] + np.flatnonzero([((np.bitwise_count(y ^ y[u]).sum(1) <= distance) & (g != g[u])).any() for u in range(len(y))]))
+    return np.concatenate(out), np.concatenate(rest)
 
 
-def candidates(nodes: DataFrame, keys: slice, distance: int = FIRST_DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
+def candidates(nodes: DataFrame, keys: slice, distance: int = DISTANCE, first_distance: int = FIRST_DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
     """Pairs ``(a, b)`` of nodes of different groups that share one of ``keys`` and are close in their first lanes.
 
-    ``nodes`` has ``lanes`` and ``joined``, a number that nodes of one group have in common.
+    Those of long runs are close in all lanes and span the run's components.
+    ``nodes`` has ``fp``, ``lanes`` and ``joined``, a number that nodes of one group have in common.
     """
     import pyarrow as pa
 
@@ -186,9 +194,11 @@ def candidates(nodes: DataFrame, keys: slice, distance: int = FIRST_DISTANCE, ru
             yield rows(1, key[long], x[long], x[long])
             key, x = key[~long], x[~long]
         if len(key):
-            e = _run_links(key, x[:, :2].view(np.uint64), x[:, 2], distance)
+            e, rest = _run_links(key, x[:, :2].view(np.uint64), x[:, 2], first_distance)
             if len(e):
                 yield rows(0, key[e[:, 0]], x[e[:, 0]], x[e[:, 1]])
+            if len(rest):
+                yield rows(1, key[rest], x[rest], x[rest])
 
     def compare(it):
         import numpy as np
@@ -222,7 +232,8 @@ def candidates(nodes: DataFrame, keys: slice, distance: int = FIRST_DISTANCE, ru
         import pandas as pd
 
         x = pdf[["a", "b"]].to_numpy()
-        e = np.array(_near_tree(x.view(np.uint64), pdf["g"].to_numpy(), distance), np.int64).reshape(-1, 2)
+        lanes = np.stack(pdf["lanes"].to_numpy()).view(np.uint64)
+        e = np.array(_near_tree(lanes, pdf["g"].to_numpy(), distance), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": x[e[:, 0], 0], "b": x[e[:, 0], 1], "c": x[e[:, 1], 0], "d": x[e[:, 1], 1]})
 
     keyed = nodes.select("lanes", "joined").mapInArrow(emit, "key long, a long, b long, g long").repartition("key").sortWithinPartitions("key")
@@ -234,19 +245,20 @@ def candidates(nodes: DataFrame, keys: slice, distance: int = FIRST_DISTANCE, ru
         own = long.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int"))
         own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pairs = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "a", "b", "g")
+        pairs = pairs.join(nodes.select(F.col("fp.a").alias("a"), F.col("fp.b").alias("b"), "lanes"), ["a", "b"])
         found = found.union(pairs.groupBy("key", "i", "j").applyInPandas(across, "a long, b long, c long, d long"))
     return found.distinct().select(F.struct("a", "b").alias("a"), F.struct(F.col("c").alias("a"), F.col("d").alias("b")).alias("b"))
 
 
 def links(prints: DataFrame, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """Verified links ``(a, b)`` between the nodes of ``prints``, which have the components of all links found."""
+    """Links ``(a, b)`` by all bits between the nodes of ``prints``, which have the components of all such links found."""
     nodes, _ = materialise(prints.groupBy("fp").agg(F.min("lanes").alias("lanes")), "nodes")
     one = nodes.select(F.col("fp").alias("a"), F.col("lanes").alias("x"))
     two = nodes.select(F.col("fp").alias("b"), F.col("lanes").alias("y"))
     bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
 
     def verified(known, keys):
-        near = candidates(known, keys, run_limit=run_limit)
+        near = candidates(known, keys, distance, run_limit=run_limit)
         return near.join(one, "a").join(two, "b").where(bits <= distance).select("a", "b")
 
     first = verified(nodes.withColumn("joined", F.xxhash64("fp")), slice(0, FIRST_KEYS))
@@ -255,9 +267,75 @@ def links(prints: DataFrame, distance: int = DISTANCE, run_limit: int = RUN_LIMI
     return joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(known, slice(FIRST_KEYS, KEYS)))
 
 
+def _similar(sets, similarity: float):
+    """The links of a spanning forest of ``sets`` (arrays without repeats) by Jaccard similarity, as index pairs; empty sets are equal."""
+    import numpy as np
+
+    n, size = len(sets), np.array([len(s) for s in sets])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    at = np.concatenate(([0], np.cumsum(size)))
+    owner = np.repeat(np.arange(n), size)[np.argsort(number, kind="stable")]
+    often = np.bincount(number)
+    start = np.cumsum(often) - often
+    left, edges = np.arange(n), []
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            u = front.pop()
+            mine = number[at[u] : at[u + 1]]
+            runs = often[mine]
+            where = np.repeat(start[mine] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+            both = np.bincount(owner[where], minlength=n)[left]
+            near = both / np.maximum(size[left] + size[u] - both, 1) >= similarity
+            if not size[u]:
+                near |= size[left] == 0
+            edges += [(u, v) for v in left[near]]
+            front += left[near].tolist()
+            left = left[~near]
+    return edges
+
+
+def similar(df: DataFrame, prints: DataFrame, near: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY, run_limit: int = RUN_LIMIT, shingles: int = SHINGLES) -> DataFrame:
+    """Links ``(a, b)`` between text hashes, which have the components of all pairs of ``similarity`` within components of ``near``."""
+    import pyarrow as pa
+
+    def run(it):
+        import numpy as np
+
+        for b in it:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column(2)]
+            ends = np.cumsum([0, *map(len, sets)])
+            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), column], names=["family", "text_hash", "shingles"])
+
+    def compare(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        own = pdf["text_hash"].to_numpy()
+        e = np.array(_similar(pdf["shingles"].tolist(), similarity), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": own[e[:, 0]], "b": own[e[:, 1]]})
+
+    roots, _ = materialise(connected_components(near), "families")
+    texts = prints.groupBy("text_hash", "fp").agg(F.min("doc_id").alias("first_id"))
+    texts = texts.join(roots, texts["fp"] == roots["node"], "left").select("text_hash", "first_id", F.xxhash64(F.coalesce("root", "fp")).alias("family"))
+    texts, _ = materialise(texts, "texts")
+    texts = texts.join(texts.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "family").select("family", "text_hash", "first_id")
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("hash"))
+    rows = rows.join(texts, rows["doc_id"].eqNullSafe(texts["first_id"]) & (rows["hash"] == texts["text_hash"])).dropDuplicates(["text_hash"])
+    sets, _ = materialise(rows.select("family", "text_hash", "text").mapInArrow(run, "family long, text_hash long, shingles array<long>"), "shingles")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / run_limit), F.ceil(F.sum(F.size("shingles")) / shingles)).cast("int")
+    own = sets.join(sets.groupBy("family").agg(blocks.alias("blocks")), "family").withColumn("own", F.pmod(F.xxhash64("text_hash"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = own.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "text_hash", "shingles")
+    return pairs.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def _components(df: DataFrame, id_col: str, text_col: str, words: int, distance: int, run_limit: int) -> tuple[DataFrame, DataFrame]:
     prints, _ = materialise(sketches(df, id_col, text_col, words), "sketches")
-    return prints, components_of(prints, links(prints, distance, run_limit))
+    found = similar(df, prints, links(prints, distance, run_limit), id_col, text_col, words, run_limit=run_limit)
+    prints = prints.select("doc_id", "text_hash", F.col("text_hash").alias("fp"))
+    return prints, components_of(prints, found)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:

@@ -76,3 +76,35 @@ def test_deduplicated(docs, rows, empty):
     want = collections.Counter(min((i for i in g if i is not None), default=None) for g in groups.values())
     assert collections.Counter(r["doc_id"] for r in got.collect()) == want
     assert sketch.deduplicated(empty).count() == 0 == sketch.near_duplicates(empty).count()
+
+
+def jaccard_roots(texts):
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    n = len(sets)
+    return roots(n, [(a, b) for a in range(n) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+
+
+@pytest.mark.parametrize("limit", [2048, 12])
+def test_links_are_exact(spark, limit):
+    """A family that shares a passage, every pair at about 0.75, and one at about 0.85: only the second is near copies."""
+    rng = random.Random(5)
+    texts = []
+    for own, members in ((43, 90), (20, 60)):
+        passage = prose(rng, 260)
+        texts += [f"{passage} " + " ".join(f"own{rng.randrange(10**6)}" for _ in range(own)) for _ in range(members)]
+    x = [sketch.sketch(t) for t in texts[:90]]
+    by_bits = set(roots(90, [(a, b) for a in range(90) for b in range(a) if apart(x[a], x[b]) <= 166]))
+    assert len(by_bits) < 5  # fingerprints alone would join nearly all of the first family
+    want = jaccard_roots(texts)
+    assert want == [*range(90), *[90] * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert dict(sketch.near_duplicates(df, run_limit=limit).collect()) == dict(enumerate(want))
+    assert sketch.deduplicated(df).count() == 91
+
+
+def test_spanning_forest_of_sets():
+    rng = random.Random(6)
+    sets = [np.array(sorted(rng.sample(range(24), rng.randrange(25))), np.int64) for _ in range(200)]
+    sets += [np.zeros(0, np.int64)] * 2
+    want = roots(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if len(u := set(sets[a]) | set(sets[b])) == 0 or len(set(sets[a]) & set(sets[b])) / len(u) >= 0.8])
+    assert roots(len(sets), sketch._similar(sets, 0.8)) == want
