@@ -8,6 +8,10 @@ of ``PROBES`` that reaches ``TARGET`` recall on a sample of at most ``SAMPLE`` v
 bound; it only fits the width and the probes: every vector is indexed). Candidates are reranked by exact
 distance in double precision.
 
+Queries that the buckets do not serve are answered exactly, against all vectors in blocks: those with fewer than ``K``
+results, and those whose last result is farther than the distance up to which neighbours of the sample were found
+at a rate of ``LEAST``. If no number of probes reaches the target on the sample, all queries are answered so.
+
 Buckets and probes meet in sorted partitions; a bucket over ``BUCKET`` vectors is salted and its probes
 go to every salt. A task keeps the ten nearest per query over all its buckets, so rows grow with queries
 and not with candidates. Copies of a vector collapse to their smallest ids, as many as a result can show.
@@ -35,6 +39,11 @@ HASHES = 8
 WIDTH = 2.25
 PROBES = (30, 60, 100, 160, 250, 400, 700)
 TARGET = 0.96
+LEAST = 0.9
+#: Neighbours of the sample whose rate counts together.
+BAND = 128
+#: Of queries in a block of the exact search.
+QUERIES = 4096
 SAMPLE = 4096
 SAMPLE_QUERIES = 256
 BUCKET = 8192
@@ -110,13 +119,13 @@ def _distances(q, x):
     return out
 
 
-def fit(x, k: int = K, probes: tuple[int, ...] = PROBES, target: float = TARGET) -> tuple[float, int]:
-    """Width and number of probes for data of which ``x`` is a sample."""
+def fit(x, k: int = K, probes: tuple[int, ...] = PROBES, target: float = TARGET) -> tuple[float, int, float]:
+    """Width and number of probes for data of which ``x`` is a sample, and the distance up to which they find neighbours; below 0 if the target is missed."""
     import numpy as np
 
     n = len(x)
     if n < 2:
-        return 1.0, probes[0]
+        return 1.0, probes[0], -1.0
     q = np.arange(min(n, SAMPLE_QUERIES))
     d = _distances(x[q], x)
     d[q, q] = np.inf
@@ -128,10 +137,17 @@ def fit(x, k: int = K, probes: tuple[int, ...] = PROBES, target: float = TARGET)
     keys = [hasher.keys(hasher.places(x, t)[0], t) for t in range(TABLES)]
     visits = [hasher.probes(x[q], t, probes[-1]) for t in range(TABLES)]
     for most in probes:
-        hit = sum(any(keys[t][c] in seen[t] for t in range(TABLES)) for i in q for seen in [[set(visits[t][i][: most + 1].tolist()) for t in range(TABLES)]] for c in near[i])
-        if hit >= target * near.size:
-            return width, most
-    return width, probes[-1]
+        hit = np.array([any(keys[t][c] in seen[t] for t in range(TABLES)) for i in q for seen in [[set(visits[t][i][: most + 1].tolist()) for t in range(TABLES)]] for c in near[i]])
+        if hit.sum() >= target * near.size:
+            far = np.take_along_axis(d, near, 1).ravel()
+            order, reach = np.argsort(far, kind="stable"), -1.0
+            for at in range(0, len(order), BAND):
+                band = order[at : at + BAND]
+                if hit[band].mean() < LEAST:
+                    break
+                reach = float(far[band[-1]])
+            return width, most, reach
+    return width, probes[-1], -1.0
 
 
 def _merge(best: dict, qid: int, ids, dist, k: int) -> None:
@@ -161,13 +177,13 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
     share = min(1.0, 0.9 * SAMPLE / n)
     # a sample of bounded size: the driver fits two numbers on it
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share * 1_000_000).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
-    width, most = fit(matrix([r["v"] for r in sample]) if sample else matrix([[0.0] * dim]), k)
+    width, most, reach = fit(matrix([r["v"] for r in sample]) if sample else matrix([[0.0] * dim]), k)
 
     # copies: the k + 1 smallest ids in two steps, so that a vector with very many copies is no single task
     some = Window.partitionBy("v", "salt").orderBy("vec_id")
     all_ = Window.partitionBy("v").orderBy("vec_id")
     ids = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).withColumn("i", F.row_number().over(some)).where(F.col("i") <= k + 1)
-    ids = ids.withColumn("i", F.row_number().over(all_)).where(F.col("i") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    ids = ids.withColumn("i", F.row_number().over(all_)).where(F.col("i") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("ids", "v")
 
     def index(it):
         h = Hasher(dim, width)
@@ -190,13 +206,24 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([1] * len(keys), pa.int32()), own.take(row), b.column("v").take(row)], names=["key", "kind", "ids", "v"])
 
     layout = "key long, kind int, ids array<long>, v array<double>"
-    data, _ = materialise(ids.select("ids", "v").mapInArrow(index, layout), "buckets")
-    queries = rows.where(F.col("vec_id") % every == 0).distinct().select(F.array("vec_id").alias("ids"), "v").mapInArrow(ask, layout)
-    salts = data.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / bucket).cast("int").alias("salts")).where("salts > 1")
-    data = data.join(salts, "key", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("ids"), F.col("salts"))).cast("int"))
-    queries = queries.join(salts, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))))
+    asked = rows.where(F.col("vec_id") % every == 0).distinct().select(F.array("vec_id").alias("ids"), "v")
     columns = ["key", "salt", "kind", "ids", "v"]
-    met = data.select(*columns).union(queries.select(*columns)).repartition("key", "salt").sortWithinPartitions("key", "salt", "kind")
+
+    def by_buckets():
+        data, _ = materialise(ids.mapInArrow(index, layout), "buckets")
+        queries = asked.mapInArrow(ask, layout)
+        salts = data.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / bucket).cast("int").alias("salts")).where("salts > 1")
+        data = data.join(salts, "key", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("ids"), F.col("salts"))).cast("int"))
+        queries = queries.join(salts, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))))
+        return data.select(*columns).union(queries.select(*columns))
+
+    def by_blocks(queries, many):
+        """All vectors against ``many`` queries: every block of queries meets every block of vectors."""
+        asks, salts = -(-many // QUERIES), -(-n // bucket)
+        numbers = lambda size, kind: F.explode(F.sequence(F.lit(0).cast(kind), F.lit(size - 1).cast(kind)))
+        data = ids.select(numbers(asks, "long").alias("key"), F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int").alias("salt"), F.lit(0).alias("kind"), "ids", "v")
+        queries = queries.select(F.pmod(F.xxhash64("ids"), F.lit(asks)).alias("key"), numbers(salts, "int").alias("salt"), F.lit(1).alias("kind"), "ids", "v")
+        return data.select(*columns).union(queries.select(*columns))
 
     def search(it):
         import numpy as np
@@ -228,19 +255,33 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
                 if mine is None:
                     mine = np.concatenate(x)
                 qids = [i[0] for i in own.slice(s, e - s).to_pylist()]
-                d = _distances(flat[s:e], mine)
-                for i, qid in enumerate(qids):
-                    take = min(k + 1, d.shape[1])
-                    edge = np.partition(d[i], take - 1)[take - 1]
-                    near = np.flatnonzero(d[i] <= edge)
-                    got = [(o, d[i, j]) for j in near for o in owners[j] if o != qid]
-                    if got:
-                        _merge(best, qid, np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got]), k)
+                for at in range(0, len(qids), 512):
+                    d = _distances(flat[s + at : min(e, s + at + 512)], mine)
+                    for i, qid in enumerate(qids[at : at + 512]):
+                        take = min(k + 1, d.shape[1])
+                        edge = np.partition(d[i], take - 1)[take - 1]
+                        near = np.flatnonzero(d[i] <= edge)
+                        got = [(o, d[i, j]) for j in near for o in owners[j] if o != qid]
+                        if got:
+                            _merge(best, qid, np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got]), k)
             if len(best) > 100_000:
                 yield give()
         if best:
             yield give()
 
-    found = met.mapInArrow(search, "query_id long, vec_id long, score double").distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    def ranked(met):
+        met = met.repartition("key", "salt").sortWithinPartitions("key", "salt", "kind")
+        found = met.mapInArrow(search, "query_id long, vec_id long, score double").distinct()
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+    asked, _ = materialise(asked, "queries")
+    if reach < 0:
+        return ranked(by_blocks(asked, max(1, asked.count())))
+    found, _ = materialise(ranked(by_buckets()), "found")
+    served = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("last")).where((F.col("n") == k) & (F.col("last") <= reach)).select("query_id")
+    left, _ = materialise(asked.join(served, F.col("ids")[0] == served["query_id"], "left_anti"), "unserved")
+    many = left.count()
+    if not many:
+        return found
+    return found.join(served, "query_id", "left_semi").unionByName(ranked(by_blocks(left, many)))

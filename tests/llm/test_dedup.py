@@ -157,3 +157,33 @@ def test_copies_rank_by_id(spark):
 def test_long_text_fingerprint():
     t = prose(random.Random(1), 70000)
     assert simhash.fingerprint(t, 3) == plain_print(t)
+
+
+@pytest.mark.parametrize("kind", ["clusters", "lengths", "far"])
+def test_unserved_queries_are_answered_exactly(spark, kind):
+    """Tight groups beside even vectors; lengths of very different size; and a few vectors far from all others."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "clusters":
+        x[:1800] = x[np.arange(1800) % 20] + rng.normal(size=(1800, 32)) * 0.01
+    if kind == "lengths":
+        x *= rng.lognormal(sigma=0.7, size=3000)[:, None]
+    if kind == "far":
+        x[[0, 500, 1000]] *= 50
+    order = rng.permutation(3000) if kind == "clusters" else np.arange(3000)
+    x = x[order]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, every=50).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    hits = 0
+    for q in range(0, 3000, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.argsort(d, kind="stable")[:10].tolist()
+        assert len(got[q]) == 10
+        if kind == "far" and q in (0, 500, 1000):
+            assert got[q] == want
+        hits += len(set(got[q]) & set(want))
+    assert hits >= 0.9 * 600
