@@ -76,3 +76,12 @@ def test_redaction(spark):
     rows = [(1, "a password=abcdefgh b", "s", 21), (2, None, None, None), (3, "clean", "x", 5), (4, "password=" + "0a" * 15 + "!", "y", 0)]
     got = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, row string, n_chars long")).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == [(1, "a [secret] b", "s", 12), (2, None, None, None), (3, "clean", "x", 5), (4, "[secret]!", "y", 9)]
+
+
+def test_sources_with_a_long_common_prefix_differ_on_the_curve(spark):
+    rows = [(i, "text", "en", f"https://example.org/source_{i % 20:03d}" if i % 25 else None, 4) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sharding.shard(df).join(df.select("doc_id", "source"), "doc_id").collect()
+    assert len(got) == 800 and len({r["curve"] for r in got}) >= 10
+    of = {s: {r["curve"] for r in got if r["source"] == s} for s in {r["source"] for r in got}}
+    assert all(len(c) == 1 for c in of.values())
