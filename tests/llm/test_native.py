@@ -34,11 +34,47 @@ def test_shards(docs, rows, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def test_written_shards(spark, docs, tmp_path):
-    d = docs.where("doc_id < 60")
-    sharding.write_shards(d, sharding.shard(d, shards=4), str(tmp_path / "s"))
+def test_rows_that_are_equal_spread_over_parts(spark):
+    """Null and repeated ids with equal metadata: no part of a cell holds much more than its share."""
+    df = spark.range(900).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("en").alias("lang"), F.lit("hot").alias("source"), F.lit(4).alias("n_chars"))
+    got = sharding.shard(df, shards=3, split_rows=100).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(3) for k in range(300)]
+    base = sharding.measured(df, "doc_id", "text", sharding.DIMENSIONS, F.monotonically_increasing_id().alias("__row"))
+    part = F.pmod(F.xxhash64("__row"), F.lit(9))
+    assert base.groupBy(part).count().agg(F.max("count")).first()[0] < 200
+
+
+def test_written_shards(spark, docs, rows, tmp_path):
+    """Every row is there, null and repeated ids too; shards have several files."""
+    sharding.write_shards(docs.withColumnRenamed("part", "shard_of"), str(tmp_path / "s"), shards=4, file_rows=8)
     back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == 60 and back.select("shard").distinct().count() == 4
+    assert collections.Counter((r["doc_id"], r["text"]) for r in back.collect()) == collections.Counter((r[0], r[1]) for r in rows)
+    files = [len(list(d.glob("*.parquet"))) for d in (tmp_path / "s").glob("shard=*")]
+    assert len(files) == 4 and min(files) > 1
+
+
+def test_files_can_be_pruned(spark, tmp_path):
+    """A filter on any dimension meets fewer files than after a split by chance."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(3)
+    rows = [(i, "t" * rng.randint(1, 9), rng.choice("abcdefgh"), f"source{rng.randint(0, 31):02d}", rng.randint(0, 9999)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sharding.write_shards(df, str(tmp_path / "curve"))
+    df.repartition(40).write.parquet(str(tmp_path / "chance"))
+
+    def met(folder, column, value):
+        n = 0
+        for f in folder.rglob("*.parquet"):
+            m = pq.ParquetFile(f).metadata
+            at = m.schema.names.index(column)
+            s = [m.row_group(g).column(at).statistics for g in range(m.num_row_groups)]
+            n += min(x.min for x in s) <= value <= max(x.max for x in s)
+        return n
+
+    asked = (("lang", "c"), ("source", "source17"), ("n_chars", 5000))
+    curve, chance = ([met(tmp_path / at, *a) for a in asked] for at in ("curve", "chance"))
+    assert all(a <= 0.75 * b for a, b in zip(curve, chance)) and sum(curve) <= 0.6 * sum(chance)
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
