@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch of documents: bounds what a Python worker holds when texts are very long.
+#: Rows and bytes in an Arrow batch of documents: both bound what a Python worker holds when texts are very long.
 DOC_BATCH_ROWS = 512
+DOC_BATCH_BYTES = 16 << 20
 #: Longest chunk of text, in characters, that a worker memoises: texts without spaces would fill the memory.
 MEMO_CHARS = 64
 
@@ -50,12 +51,13 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = DOC_BATCH_ROWS) -> None:
-    """Let Arrow batches of this session hold at most ``rows`` rows from here on."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = DOC_BATCH_ROWS, size: int = DOC_BATCH_BYTES) -> None:
+    """Let Arrow batches of this session hold at most ``rows`` rows and about ``size`` bytes from here on."""
+    for key, most, given in (("maxRecordsPerBatch", rows, 10_000), ("maxBytesPerBatch", size, (1 << 31) - 1)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, str(given)).lower()
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def held_out(doc_id: str | Column) -> Column:

@@ -1,14 +1,16 @@
 """Packing documents into fixed windows by best-fit decreasing.
 
 Documents are tokenised in the scan and cut into pieces of at most one window; full windows are
-windows of their own. Pieces are dealt by a hash of (document, start) into groups of about
-``GROUP_ROWS``, so neither a hot source nor a very long document lands in one task. Within a
-group, pieces are placed longest first; a segment tree indexed by remaining capacity finds the
-tightest open window in ``log2(window)`` steps.
+windows of their own and leave the task at once. What is left of a document, less than a window, waits
+until a task holds ``GROUP_ROWS`` such pieces; they are placed longest first, and a segment tree indexed by
+remaining capacity finds the tightest open window in ``log2(window)`` steps. Nothing is shuffled, so neither a
+hot source, nor a very long document, nor a row that repeats very often gathers in one task, and a lost
+task is packed again from its own part of the scan. Partitions with fewer rows than a group are read together.
 
 Defined cases: a null text is an empty one and packs as the end token alone; repeated rows are
 packed once each; a null id is kept; an empty table gives no pieces; ties in length go by
-(document, start, checksum); other columns of the input, whatever their names, are not read.
+the order of rows; other columns of the input, whatever their names, are not read; sequences are
+numbered by partition, and by order within it.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from .common import MEMO_CHARS, small_batches
 
 WINDOW = 2048
 END_ID = 1
-#: Pieces that one task packs at once, on average.
-GROUP_ROWS = 8192
+#: Pieces shorter than a window that are packed at once: a task holds their ids, at most a window each.
+GROUP_ROWS = 4096
+#: Full windows in a batch that leaves a task.
+FULL_ROWS = 1024
 #: Memoised chunks a Python worker keeps.
 MEMO_ENTRIES = 200_000
 
@@ -87,44 +91,6 @@ def encoder(name: str) -> ByteBpe:
     return _encoders[name]
 
 
-def tokenised_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, vocabulary: str = "byte_bpe_50k.tiktoken", with_ids: bool = True) -> DataFrame:
-    """Pieces of at most ``window`` ids: ``(doc_id, start, length, ids_crc32, doc_tokens[, ids])``.
-
-    ``ids`` is binary, little-endian unsigned 32-bit. Narrow: no shuffle.
-    """
-    import pyarrow as pa
-
-    id_type = df.schema[id_col].dataType.simpleString()
-    small_batches(df.sparkSession)
-    fields = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else "")
-
-    def run(it):
-        enc, step, end = encoder(vocabulary), 4 * window, end_id.to_bytes(4, "little")
-        for batch in it:
-            keys, texts = batch.column(0), batch.column(1)
-            row, start, length, crc, total, raw = [], [], [], [], [], []
-            for i in range(batch.num_rows):
-                ids = enc.ids(texts[i].as_py() or "") + end
-                n = len(ids) // 4
-                for at in range(0, len(ids), step):
-                    part = ids[at : at + step]
-                    row.append(i)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    total.append(n)
-                    if with_ids:
-                        raw.append(part)
-            cols = [keys.take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                cols.append(pa.array(raw, pa.binary()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, fields)
-
-
 class CapacityTree:
     """Open windows by remaining capacity: a segment tree of counts over capacities 0..window."""
 
@@ -178,23 +144,70 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return windows, offsets
 
 
-def pack_pieces(pieces: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
-    """Add ``sequence_id`` (unique over the table) and ``offset`` to pieces from :func:`tokenised_pieces`.
+def packed(rows, window: int, end: bytes, vocabulary: str, group_rows: int, first_id: int):
+    """Lists of ``(row key, start, ids, tokens of the document, sequence, offset)`` from ``(row key, text)`` pairs.
 
-    One shuffle, of the pieces' columns as given: leave ``ids`` out where only places are needed.
+    Holds at most ``group_rows`` pieces that are shorter than a window, and one document.
     """
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long"
-
-    def place(key, pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        windows, offsets = best_fit_decreasing(pdf["length"].tolist(), window)
-        return pdf.assign(sequence_id=[(int(key[0]) << 32) | w for w in windows], offset=offsets)
-
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(max(1, groups)))
-    return pieces.groupBy(group.alias("pack_group")).applyInPandas(place, schema)
+    enc, step, opened = encoder(vocabulary), 4 * window, first_id
+    full, waiting = [], []
+
+    def place():
+        waiting.sort(key=lambda p: -len(p[2]))
+        windows, offsets = best_fit_decreasing([len(p[2]) // 4 for p in waiting], window)
+        return [(*p, opened + w, o) for p, w, o in zip(waiting, windows, offsets, strict=True)], opened + max(windows) + 1
+
+    for key, text in rows:
+        ids = enc.ids(text or "") + end
+        for at in range(0, len(ids), step):
+            piece = (key, at // 4, ids[at : at + step], len(ids) // 4)
+            if len(piece[2]) < step:
+                waiting.append(piece)
+            else:
+                full.append((*piece, opened, 0))
+                opened += 1
+                if len(full) >= FULL_ROWS:
+                    yield full
+                    full = []
+        if len(waiting) >= group_rows:
+            done, opened = place()
+            waiting = []
+            yield done
+    if full:
+        yield full
+    if waiting:
+        yield place()[0]
+
+
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, group_rows: int = GROUP_ROWS, vocabulary: str = "byte_bpe_50k.tiktoken", with_ids: bool = True) -> DataFrame:
+    """Pack every text of ``df``: ``(doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset)`` per piece.
+
+    With ``with_ids`` each piece carries its token ids: binary, little-endian unsigned 32-bit. Narrow: no shuffle.
+    """
+    import pyarrow as pa
 
+    small_batches(df.sparkSession)
+    id_type = df.schema[id_col].dataType.simpleString()
+    fields = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else "") + ", sequence_id long, offset long"
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, group_rows: int = GROUP_ROWS, with_ids: bool = True) -> DataFrame:
-    """Pack every text of ``df``; with ``with_ids`` each piece carries its token ids."""
-    groups = -(-df.count() // group_rows)
-    return pack_pieces(tokenised_pieces(df, id_col, text_col, window, end_id, with_ids=with_ids), groups, window)
+    def run(it):
+        from pyspark import TaskContext
+
+        kind = None
+
+        def rows():
+            nonlocal kind
+            for b in it:
+                kind = b.schema.field(0).type
+                yield from zip(b.column(0), b.column(1).to_pylist())
+
+        first = TaskContext.get().partitionId() << 32
+        for done in packed(rows(), window, end_id.to_bytes(4, "little"), vocabulary, group_rows, first):
+            keys, start, raw, total, sequence, offset = zip(*done)
+            cols = {"doc_id": pa.array([k.as_py() for k in keys], kind), "start": pa.array(start, pa.int64()), "length": pa.array([len(r) // 4 for r in raw], pa.int64())}
+            cols |= {"ids_crc32": pa.array([zlib.crc32(r) for r in raw], pa.int64()), "doc_tokens": pa.array(total, pa.int64())}
+            cols |= {"ids": pa.array(raw, pa.binary())} if with_ids else {}
+            yield pa.RecordBatch.from_pydict(cols | {"sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())})
+
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.coalesce(max(1, -(-df.count() // group_rows))).mapInArrow(run, fields)

@@ -66,6 +66,21 @@ def test_packing(docs, rows):
         assert at <= 256
 
 
+def test_packing_is_narrow_and_fills_windows(spark):
+    """Rows that repeat one document, and a very long one, are packed where they are read; little is padded."""
+    rng = random.Random(11)
+    rows = [(7, "the same words again and again " * 9)] * 400 + [(i, "word " * rng.randint(1, 300)) for i in range(100, 500)] + [(600, "long text " * 40_000)]
+    df = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window=512, group_rows=100, with_ids=False)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
+    got = df.collect()
+    assert sum(r["length"] for r in got if r["doc_id"] == 7) == 400 * next(r["doc_tokens"] for r in got if r["doc_id"] == 7)
+    assert all(r["length"] == 512 and r["offset"] == 0 for r in got if r["doc_id"] == 600 and r["start"] + 512 <= r["doc_tokens"])
+    windows = len({r["sequence_id"] for r in got})
+    assert windows * 512 <= 1.05 * sum(r["length"] for r in got)
+    most = max(n for _, n in collections.Counter(r["sequence_id"] >> 32 for r in got if r["length"] < 512).items())
+    assert most <= 400  # each of three tasks packs its own
+
+
 def test_packing_empty(empty):
     assert packing.pack(empty).count() == 0
 
