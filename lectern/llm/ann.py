@@ -16,8 +16,10 @@ Buckets and probes meet in sorted partitions; a bucket over ``BUCKET`` vectors i
 go to every salt. A task keeps the ten nearest per query over all its buckets, so rows grow with queries
 and not with candidates. Copies of a vector collapse to their smallest ids, as many as a result can show.
 
-Defined cases: vectors that are null, zero or hold null or non-finite components, null ids, and vectors
-whose length is not the table's most common one take no part; with fewer candidates all are returned; ties go
+Vectors of different lengths are in different spaces: a query's candidates are those of its own length. The ``INDEXED``
+commonest lengths have an index each; the vectors of all others are searched exactly, in blocks.
+
+Defined cases: vectors that are null, zero or hold null or non-finite components, and null ids take no part; with fewer candidates all are returned; ties go
 to the smaller id; rows that repeat an id are one candidate; other columns are not read; an empty table gives no rows.
 """
 
@@ -48,6 +50,10 @@ SAMPLE = 4096
 SAMPLE_QUERIES = 256
 BUCKET = 8192
 SALTS = 64
+#: Lengths of vectors, commonest first, that get an index of their own.
+INDEXED = 4
+
+_LAYOUT = ("key", "salt", "kind", "ids", "v")
 
 
 class Hasher:
@@ -162,68 +168,27 @@ def _merge(best: dict, qid: int, ids, dist, k: int) -> None:
     best[qid] = ids[first], dist[first]
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = EVERY, k: int = K, bucket: int = BUCKET) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each row whose id ``every`` divides."""
-    import pyarrow as pa
-
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    dims = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if dims is None:
-        return spark.createDataFrame([], schema)
-    dim, n = dims["dim"], dims["n"]
-    rows = rows.where(F.size("v") == dim)
-    share = min(1.0, 0.9 * SAMPLE / n)
-    # a sample of bounded size: the driver fits two numbers on it
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share * 1_000_000).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
-    width, most, reach = fit(matrix([r["v"] for r in sample]) if sample else matrix([[0.0] * dim]), k)
-
-    # copies: the k + 1 smallest ids in two steps, so that a vector with very many copies is no single task
+def _collapsed(rows: DataFrame, k: int) -> DataFrame:
+    """``(ids, v)``: the k + 1 smallest ids of each vector, in two steps, so that one with very many copies is no single task."""
     some = Window.partitionBy("v", "salt").orderBy("vec_id")
     all_ = Window.partitionBy("v").orderBy("vec_id")
     ids = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).withColumn("i", F.row_number().over(some)).where(F.col("i") <= k + 1)
-    ids = ids.withColumn("i", F.row_number().over(all_)).where(F.col("i") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("ids", "v")
+    return ids.withColumn("i", F.row_number().over(all_)).where(F.col("i") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("ids", "v")
 
-    def index(it):
-        h = Hasher(dim, width)
-        for b in it:
-            v = b.column("v")
-            x = matrix(v.to_pylist())
-            for t in range(TABLES):
-                keys = h.keys(h.places(x, t)[0], t)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([0] * len(x), pa.int32()), b.column("ids"), v], names=["key", "kind", "ids", "v"])
 
-    def ask(it):
-        h = Hasher(dim, width)
-        for b in it:
-            x, own = matrix(b.column("v").to_pylist()), b.column("ids")
-            for t in range(TABLES):
-                for at in range(0, len(x), 64):
-                    visits = h.probes(x[at : at + 64], t, most)
-                    row = pa.array([at + i for i, keys in enumerate(visits) for _ in keys], pa.int64())
-                    keys = [int(y) for z in visits for y in z]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([1] * len(keys), pa.int32()), own.take(row), b.column("v").take(row)], names=["key", "kind", "ids", "v"])
-
-    layout = "key long, kind int, ids array<long>, v array<double>"
-    asked = rows.where(F.col("vec_id") % every == 0).distinct().select(F.array("vec_id").alias("ids"), "v")
-    columns = ["key", "salt", "kind", "ids", "v"]
+def _by_blocks(ids: DataFrame, queries: DataFrame, n: int, many: int, bucket: int) -> DataFrame:
+    """All vectors against ``many`` queries: every block of queries meets every block of vectors of its length."""
+    asks, salts = -(-many // QUERIES), -(-n // bucket)
+    numbers = lambda size, kind: F.explode(F.sequence(F.lit(0).cast(kind), F.lit(size - 1).cast(kind)))
+    place = F.size("v").cast("long") * asks
+    data = ids.withColumn("ask", numbers(asks, "long")).select((place + F.col("ask")).alias("key"), F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int").alias("salt"), F.lit(0).alias("kind"), "ids", "v")
+    queries = queries.select((place + F.pmod(F.xxhash64("ids"), F.lit(asks))).alias("key"), numbers(salts, "int").alias("salt"), F.lit(1).alias("kind"), "ids", "v")
+    return data.select(*_LAYOUT).union(queries.select(*_LAYOUT))
 
-    def by_buckets():
-        data, _ = materialise(ids.mapInArrow(index, layout), "buckets")
-        queries = asked.mapInArrow(ask, layout)
-        salts = data.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / bucket).cast("int").alias("salts")).where("salts > 1")
-        data = data.join(salts, "key", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("ids"), F.col("salts"))).cast("int"))
-        queries = queries.join(salts, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))))
-        return data.select(*columns).union(queries.select(*columns))
 
-    def by_blocks(queries, many):
-        """All vectors against ``many`` queries: every block of queries meets every block of vectors."""
-        asks, salts = -(-many // QUERIES), -(-n // bucket)
-        numbers = lambda size, kind: F.explode(F.sequence(F.lit(0).cast(kind), F.lit(size - 1).cast(kind)))
-        data = ids.select(numbers(asks, "long").alias("key"), F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int").alias("salt"), F.lit(0).alias("kind"), "ids", "v")
-        queries = queries.select(F.pmod(F.xxhash64("ids"), F.lit(asks)).alias("key"), numbers(salts, "int").alias("salt"), F.lit(1).alias("kind"), "ids", "v")
-        return data.select(*columns).union(queries.select(*columns))
+def _ranked(met: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of each query among the vectors that it meets at one key and salt."""
+    import pyarrow as pa
 
     def search(it):
         import numpy as np
@@ -240,14 +205,14 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
         for b in it:
             key, salt, kind = (b.column(i).to_numpy() for i in range(3))
             own, v = b.column(3), b.column(4)
-            flat = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1]))))
             for s, e in zip(cut, np.append(cut[1:], len(key))):
                 here = int(key[s]), int(salt[s])
+                flat = v.slice(s, e - s).flatten().to_numpy(zero_copy_only=False).reshape(e - s, -1)  # of one length at one key
                 if here != place:
                     place, x, owners, mine = here, [], [], None
                 if kind[s] == 0:  # vectors come first; salts bound how many there are
-                    x.append(flat[s:e])
+                    x.append(flat)
                     owners += own.slice(s, e - s).to_pylist()
                     continue
                 if not x:
@@ -256,7 +221,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
                     mine = np.concatenate(x)
                 qids = [i[0] for i in own.slice(s, e - s).to_pylist()]
                 for at in range(0, len(qids), 512):
-                    d = _distances(flat[s + at : min(e, s + at + 512)], mine)
+                    d = _distances(flat[at : at + 512], mine)
                     for i, qid in enumerate(qids[at : at + 512]):
                         take = min(k + 1, d.shape[1])
                         edge = np.partition(d[i], take - 1)[take - 1]
@@ -269,19 +234,78 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
         if best:
             yield give()
 
-    def ranked(met):
-        met = met.repartition("key", "salt").sortWithinPartitions("key", "salt", "kind")
-        found = met.mapInArrow(search, "query_id long, vec_id long, score double").distinct()
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-        return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    met = met.repartition("key", "salt").sortWithinPartitions("key", "salt", "kind")
+    found = met.mapInArrow(search, "query_id long, vec_id long, score double").distinct()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = EVERY, k: int = K, bucket: int = BUCKET, indexed: int = INDEXED) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each row whose id ``every`` divides."""
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
+    dims = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(indexed + 1).collect()
+    if not dims:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = None
+    for d in dims[:indexed]:
+        own = _of_length(rows.where(F.size("v") == d["dim"]), d["dim"], d["n"], every, k, bucket)
+        out = own if out is None else out.unionByName(own)
+    if len(dims) > indexed:  # rarer lengths: exactly
+        rest, _ = materialise(rows.where(~F.size("v").isin([d["dim"] for d in dims[:indexed]])), "rare-lengths")
+        asked = rest.where(F.col("vec_id") % every == 0).distinct().select(F.array("vec_id").alias("ids"), "v")
+        own = _ranked(_by_blocks(_collapsed(rest, k), asked, rest.count(), max(1, asked.count()), bucket), k)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _of_length(rows: DataFrame, dim: int, n: int, every: int, k: int, bucket: int) -> DataFrame:
+    """:func:`nearest` over the ``n`` vectors of one length."""
+    import pyarrow as pa
+
+    share = min(1.0, 0.9 * SAMPLE / n)
+    # a sample of bounded size: the driver fits two numbers on it
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share * 1_000_000).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
+    width, most, reach = fit(matrix([r["v"] for r in sample]) if sample else matrix([[0.0] * dim]), k)
+    ids = _collapsed(rows, k)
+
+    def index(it):
+        h = Hasher(dim, width)
+        for b in it:
+            v = b.column("v")
+            x = matrix(v.to_pylist())
+            for t in range(TABLES):
+                keys = h.keys(h.places(x, t)[0], t)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([0] * len(x), pa.int32()), b.column("ids"), v], names=["key", "kind", "ids", "v"])
+
+    def ask(it):
+        h = Hasher(dim, width)
+        for b in it:
+            x, own = matrix(b.column("v").to_pylist()), b.column("ids")
+            for t in range(TABLES):
+                for at in range(0, len(x), 64):
+                    visits = h.probes(x[at : at + 64], t, most)
+                    row = pa.array([at + i for i, keys in enumerate(visits) for _ in keys], pa.int64())
+                    keys = [int(y) for z in visits for y in z]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([1] * len(keys), pa.int32()), own.take(row), b.column("v").take(row)], names=["key", "kind", "ids", "v"])
+
+    layout = "key long, kind int, ids array<long>, v array<double>"
+    asked = rows.where(F.col("vec_id") % every == 0).distinct().select(F.array("vec_id").alias("ids"), "v")
+
+    def by_buckets():
+        data, _ = materialise(ids.mapInArrow(index, layout), "buckets")
+        queries = asked.mapInArrow(ask, layout)
+        salts = data.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / bucket).cast("int").alias("salts")).where("salts > 1")
+        data = data.join(salts, "key", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("ids"), F.col("salts"))).cast("int"))
+        queries = queries.join(salts, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))))
+        return data.select(*_LAYOUT).union(queries.select(*_LAYOUT))
 
     asked, _ = materialise(asked, "queries")
     if reach < 0:
-        return ranked(by_blocks(asked, max(1, asked.count())))
-    found, _ = materialise(ranked(by_buckets()), "found")
+        return _ranked(_by_blocks(ids, asked, n, max(1, asked.count()), bucket), k)
+    found, _ = materialise(_ranked(by_buckets(), k), "found")
     served = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("last")).where((F.col("n") == k) & (F.col("last") <= reach)).select("query_id")
     left, _ = materialise(asked.join(served, F.col("ids")[0] == served["query_id"], "left_anti"), "unserved")
     many = left.count()
     if not many:
         return found
-    return found.join(served, "query_id", "left_semi").unionByName(ranked(by_blocks(left, many)))
+    return found.join(served, "query_id", "left_semi").unionByName(_ranked(_by_blocks(ids, left, n, many, bucket), k))

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lectern.llm import ann, common, forest, simhash
 
@@ -187,3 +188,19 @@ def test_unserved_queries_are_answered_exactly(spark, kind):
             assert got[q] == want
         hits += len(set(got[q]) & set(want))
     assert hits >= 0.9 * 600
+
+
+@pytest.mark.parametrize("indexed", [4, 1])
+def test_lengths_are_spaces_of_their_own(spark, indexed):
+    """Vectors of a rarer length meet their own kind; groups of uneven density lose no query."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(1000 + i, rng.normal(size=5).tolist()) for i in range(20)] + [(2000 + i, rng.normal(size=3).tolist()) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("key", "salt", "kind", "ids", "n")})
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, indexed=indexed).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    of = dict(rows)
+    for q, length in ((1000, 5), (2000, 3)):
+        want = sorted((np.sqrt(sum((a - b) ** 2 for a, b in zip(v, of[q]))), i) for i, v in rows if len(v) == length and i != q)[:10]
+        assert [i for i, _ in got[q]] == [i for _, i in want]
+    assert all(len(got[q]) == 10 for q in (0, 100, 200, 300, 1000)) and len(got[2000]) == 3
