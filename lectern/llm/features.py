@@ -68,18 +68,22 @@ def text_runs(texts: list[str], most: int = 1_000_000):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(text, label, order)`` of about ``bound`` labelled documents outside the held-out fold, chosen by a hash of the id.
+    """``(text, label, order)`` of about ``bound`` labelled documents outside the held-out fold, chosen by a hash.
 
-    Repeated labels of an id count once, as the largest; null ids and labels teach nothing.
+    The bound holds for ids and for rows: of an id that repeats with many texts a share is taken, and rows
+    that repeat id and text teach once. Repeated labels of an id count once, as the largest; null ids and labels teach nothing.
     """
+    def share(of: int):
+        taken = min(1.0, bound / max(of, 1))
+        return lambda h: F.pmod(h, F.lit(1_000_000)) < int(taken * 1_000_000) + (taken >= 1)
+
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label")).where("__id is not null and label is not null")
     known = known.where(~held_out("__id")).groupBy("__id").agg(F.max("label").alias("label"))
-    n = known.count()
-    share = min(1.0, bound / max(n, 1))
-    known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(share * 1_000_000) + (share >= 1))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(known), "__id")  # about `bound` rows of an id and a label
-    return rows.select(F.coalesce("text", F.lit("")).alias("text"), "label", F.xxhash64("__id", "text").alias("order"))
+    known = known.where(share(known.count())(F.xxhash64("__id")))
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(known), "__id").withColumn("order", F.xxhash64("__id", "text"))  # about `bound` rows of an id and a label
+    several = rows.select("order").distinct().count()
+    return rows.where(share(several)(F.xxhash64("order", F.lit(1)))).dropDuplicates(["order"]).select("text", "label", "order")
 
 
 def train(sample: DataFrame, extract, fit) -> bytes:

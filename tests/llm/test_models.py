@@ -1,10 +1,15 @@
+import collections
+import io
+import math
 import random
+import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import quality, toxicity
+from lectern.llm import features, quality, toxicity
 
 from .conftest import prose
 
@@ -72,3 +77,85 @@ def test_pairs_matter():
     model = toxicity.learn(toxicity._extract(xs), ys, epochs=6)
     s = toxicity.score(model, ["k l insult group", "k l insult", "k l group", "k l"])
     assert s[0] > 0.5 > max(s[1:])
+
+
+@pytest.mark.parametrize("rule", ["xor", "same"])
+def test_pairs_of_terms_that_are_neutral_alone(rule):
+    """The label depends on the pair only: each term alone is at the base rate."""
+    rng = random.Random(2)
+    xs, ys = [], []
+    for _ in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        xs.append(" ".join(rng.sample("k l m n o p q r s t".split(), 4) + ["insult"] * a + ["group"] * b))
+        ys.append(int((a != b) == (rule == "xor")))
+    s = toxicity.score(toxicity.learn(toxicity._extract(xs), ys), ["k l insult group", "k l insult", "k l group", "k l"])
+    assert [bool(x > 0.5) for x in s] == [rule == "same", rule == "xor", rule == "xor", rule == "same"]
+
+
+def test_factorisation_machine_equals_all_pairs(labelled):
+    """Scores in linear time against the sum over all pairs of a text's distinct terms."""
+    docs, labels, _ = labelled
+    model = toxicity.fit(docs, labels)
+    m = np.load(io.BytesIO(model))
+    slot = {int(a): i for i, a in enumerate(m["at"])}
+    texts = [r["text"] or "" for r in docs.limit(60).collect()] + ["idiot idiot scum", "x " * 30_000]
+    for t, got in zip(texts, toxicity.score(model, texts)):
+        own = [slot[b] for b in np.frombuffer(toxicity._extract([t])[0], np.int32).tolist() if b in slot]
+        s = float(m["bias"]) + sum(float(m["w"][i]) for i in own) + sum(float(m["v"][i].astype(float) @ m["v"][j].astype(float)) for k, i in enumerate(own) for j in own[:k])
+        assert abs(got - 1 / (1 + math.exp(-max(-35, min(35, s))))) < 1e-6
+
+
+def test_quality_equals_plain_ftrl():
+    """Follow the regularised leader over dictionaries, one weight at a time, and a plain dot product."""
+    rng = random.Random(4)
+    texts = [prose(rng, rng.randint(1, 30)) + " BAD!!" * (i % 3 == 0) for i in range(120)]
+    ys = [int(i % 3 > 0) for i in range(120)]
+
+    def grams(t):
+        h = [zlib.crc32(x.encode()) for c in t.split() for x in re.findall(r"\w+|[^\w\s]+", c.lower())]
+        mix = lambda x: (x * 0x9E3779B97F4A7C15 % 2**64) >> (64 - quality.BITS)
+        out = [mix(x) for x in h]
+        for a, b in zip(h, h[1:]):
+            f = (a * 0x85EBCA77 + b) % 2**64
+            out.append(quality.REPEATED if a == b else mix(f ^ f >> 29))
+        n = collections.Counter(out)
+        return {k: c * quality.SCALE / len(out) for k, c in n.items()}
+
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else quality.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for t, y in zip(texts, ys):
+            x = grams(t) | {"bias": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += g * g
+    got = quality.score(quality.ftrl(quality._extract(texts), ys), texts)
+    for t, s in zip(texts, got):
+        want = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in (grams(t) | {"bias": 1.0}).items())))
+        assert abs(s - want) < 1e-4
+
+
+def test_sample_is_bounded_in_rows(spark):
+    """Twenty labels, of which one belongs to very many rows: ids and rows keep to the bound."""
+    rows = [(1, f"text {i}") for i in range(4000)] + [(1, "same")] * 3000 + [(i, f"other {i}") for i in range(2, 21)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("label", "order", "__n")})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 21)], "doc_id long, toxic int")
+    for bound in (100, 400):
+        n = features.labelled_sample(docs, labels, "toxic", bound).count()
+        assert 0 < n <= 1.5 * bound
+
+
+@pytest.mark.parametrize("model", [quality, toxicity])
+def test_long_texts_and_clashing_names(spark, labelled, model):
+    docs, labels, _ = labelled
+    long = spark.createDataFrame([(9000, "word idiot " * 200_000), (9000, "word idiot " * 200_000)], "doc_id long, text string").withColumn("label", F.lit("x"))
+    names = ("score", "predicted", "held_out", "order", "toxic", "quality", "model", "x")
+    got = model.classify(docs.union(long).withColumns({c: F.lit(None).cast("string") for c in names}), labels)
+    assert got.count() == docs.count() + 2 and got.where("doc_id = 9000").distinct().count() == 1
