@@ -1,14 +1,14 @@
 """Token counts of whole texts, huge ones by overlap resynchronisation.
 
-A text longer than ``chunk`` characters is encoded in chunks that overlap. Both encodings of an
-overlap give the offsets at which a token ends; the first one is followed up to, and the second
-one from, a boundary that both have and that is proven stable: the text goes from a non-space to
-a space there, and no piece of the vocabulary holds a space after a non-space (checked against the
-whole vocabulary when the model is loaded), so no merge can ever cross it. If an overlap has no
-such boundary, it is widened to twice its length until it has one or the text ends. Memory is
-bounded by the chunk, and the count equals that of encoding the text in one go.
+A text longer than ``chunk`` characters is encoded in chunks that overlap, each with the offsets at which its tokens
+end. The count follows one chunk's tokens up to, and the next chunk's from, an offset in the overlap at which both
+encodings end a token and which is proven stable: the text goes from a non-space to a space there, and no piece of the
+vocabulary holds a space after a non-space (checked against the whole vocabulary when the model is loaded), so no merge
+can ever cross it. If an overlap has no such offset, it is widened to twice its length, backwards as far as the chunk
+goes and then forwards, and both chunks' encodings of it are compared again. The count equals that of encoding the text in
+one go. A worker holds one chunk and its overlap; a stretch without a stable offset (a text without spaces) is held whole.
 
-Chunks are encoded by their runs between proven boundaries, memoised per worker.
+Texts of one chunk are counted by their runs between proven boundaries, memoised per worker.
 
 Defined cases: null and empty texts have no tokens; nulls in the id are kept; repeated rows are
 counted once each; other columns are not read.
@@ -47,6 +47,11 @@ class PieceCounter:
         for probe in ("ﬁ ①", "é", "a  b"):  # the proof also needs a normaliser that leaves texts alone
             if self._sp.normalize(probe).replace(_SPACE, " ").lstrip(" ") != probe:
                 raise ValueError("the model normalises texts")
+        import numpy as np
+
+        names = [self._sp.id_to_piece(i) for i in range(self._sp.get_piece_size())]
+        self._size = np.array([len(p) for p in names])
+        self._byte = np.array([int(p[3:5], 16) if _BYTE.fullmatch(p) else -1 for p in names])
         self._memo: dict[str, int] = {}
 
     def _runs(self, text: str) -> list[str]:
@@ -75,20 +80,14 @@ class PieceCounter:
             n += one(r) if x is None else x
         return n
 
-    def boundaries(self, text: str) -> list[int]:
-        """Offsets in ``text``, in characters, at which a token of its own encoding ends."""
-        out, at, pending = [], -1, 0  # the model puts a space in front
-        for p in self._sp.encode(text, out_type=str):
-            if _BYTE.fullmatch(p):
-                if not pending:
-                    first = text[at].encode("utf-8", "surrogatepass")
-                    pending = len(first)
-                pending -= 1
-                at += not pending
-            else:
-                at += len(p)
-            out.append(at if not pending else -1)
-        return out
+    def ends(self, text: str):
+        """Offset in ``text`` at which each token of its own encoding ends, and whether a character ends there too."""
+        import numpy as np
+
+        ids = np.array(self._sp.encode(text), np.int64)
+        lead = self._byte[ids]
+        inside = np.append((lead[1:] >= 0x80) & (lead[1:] < 0xC0), False)  # more bytes of the same character follow
+        return np.cumsum(np.where(lead < 0, self._size[ids], (lead < 0x80) | (lead >= 0xC0))) - 1, ~inside  # the model puts a space in front
 
     def stable(self, text: str, at: int) -> bool:
         """No merge crosses this offset, whatever stands further left or right."""
@@ -96,26 +95,31 @@ class PieceCounter:
 
     def resynchronised(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         """Tokens of a text, spliced from overlapping chunks."""
-        total, start, n = 0, 0, len(text)
-        while n - start > chunk:
-            end, wide = start + chunk, max(1, min(overlap, chunk // 2))
+        import numpy as np
+
+        n, total, start, end = len(text), 0, 0, min(len(text), chunk)
+        here, whole = self.ends(text[start:end])  # of the chunk from start to end
+        counted = 0  # tokens of it that are counted already
+        while end < n:
+            wide = max(1, min(overlap, chunk // 2))
             while True:
                 left = max(start + 1, end - wide)
-                here = {left + x for x in self.boundaries(text[left:end]) if x > 0}
-                right = text[left - 1 : min(n, end + wide)]  # starts and ends elsewhere than the other
-                there = {left - 1 + x for x in self.boundaries(right) if x > 0}
-                cut = max((x for x in here & there if left < x < end and self.stable(text, x)), default=None)
+                stop = min(n, max(end, left + chunk))
+                there, sound = self.ends(text[left:stop])
+                both = np.intersect1d(start + here[whole], left + there[sound])
+                cut = next((int(x) for x in both[::-1] if left < x < end and self.stable(text, int(x))), None)
                 if cut is not None or end == n:
                     break
-                if left == start + 1:
+                if left == start + 1:  # nothing further back: the chunk grows
                     end = min(n, end + wide)
+                    here, whole = self.ends(text[start:end])
                 wide *= 2
             if cut is None:
                 break
-            # a chunk that starts at a stable boundary: the model supplies the space that stands there
-            total += self.whole(text[start:cut])
-            start = cut + 1
-        return total + (self.whole(text[start:]) if start < n or not n else self._one(""))
+            total += int(np.searchsorted(start + here, cut, "right")) - counted
+            counted = int(np.searchsorted(left + there, cut, "right"))
+            start, end, here, whole = left, stop, there, sound
+        return total + len(here) - counted
 
     def count(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         return self.whole(text) if len(text) <= chunk else self.resynchronised(text, chunk, overlap)
