@@ -1,9 +1,11 @@
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import secrets, sharding
@@ -121,3 +123,105 @@ def test_sources_with_a_long_common_prefix_differ_on_the_curve(spark):
     assert len(got) == 800 and len({r["curve"] for r in got}) >= 10
     of = {s: {r["curve"] for r in got if r["source"] == s} for s in {r["source"] for r in got}}
     assert all(len(c) == 1 for c in of.values())
+
+
+ENCODED = {"base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "HEX": "0123456789ABCDEF"}
+PARTS = "get set user account manager factory handler request response list total index value config service client server update delete create find load save parse build stream reader writer token-less cache queue thread worker session profile".split()
+
+
+def natural_names(rng, n):
+    """Identifiers, paths, slugs, compounds and numbers of 20 or more characters."""
+    out = []
+    while len(out) < n:
+        w = [rng.choice(PARTS).replace("-", "") for _ in range(rng.randint(3, 6))]
+        t = rng.choice(["_".join(w), "-".join(w), "/".join(w), "".join(x.title() for x in w), "".join(w), "".join(w) + str(rng.randint(1, 2030)), f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}-" + "-".join(w), str(rng.randrange(10**21, 10**24))])
+        if len(t) >= 20:
+            out.append(t)
+    return out
+
+
+def plain_examined(token):
+    """The battery and the natural null, symbol by symbol."""
+    core = token.rstrip("=")
+    name, alphabet = next(((n, a) for n, p, a in secrets.ENCODINGS if re.match(p, core)), (None, None))
+    if name is None:
+        return None
+    if name in ("hex", "base32", "base36"):
+        core = core.upper()
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    x, n, a = [alphabet.index(c) for c in core], len(core), len(alphabet)
+    g = min(a, max(2, n // 5))
+    cells, width = [0] * g, [0] * g
+    for i in range(a):
+        width[i * g // a] += 1
+    for v in x:
+        cells[v * g // a] += 1
+    chi = sum((o - n * w / a) ** 2 / (n * w / a) for o, w in zip(cells, width))
+    df = g - 1
+    ps = [tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))]
+    high = [v >= a / 2 for v in x]
+    one = sum(high)
+    mean = 2 * one * (n - one) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    runs = 1 + sum(u != v for u, v in zip(high, high[1:]))
+    ps.append(2 * tail(abs(runs - mean) / math.sqrt(spread)) if spread > 0 else 0)
+    m = sum(x) / n
+    power = sum((v - m) ** 2 for v in x)
+    r = sum((u - m) * (v - m) for u, v in zip(x, x[1:])) / power if power else None
+    ps.append(2 * tail(abs(r * math.sqrt(n) + 1 / math.sqrt(n))) if power else 0)
+    half = -sum(math.log(min(1, max(p, 1e-20))) for p in ps)
+    ratios, null, deviation = secrets.log_ratios(name, alphabet)
+    far = (sum(ratios[v] for v in x) - n * null) / (secrets.WIDER * deviation * math.sqrt(n))
+    return math.exp(-half) * (1 + half + half * half / 2), tail(far)
+
+
+def test_examinations_equal_plain_ones(spark):
+    rng = random.Random(21)
+    tokens = ["".join(rng.choice(a) for _ in range(rng.randint(6, 120))) for a in ENCODED.values() for _ in range(30)] + natural_names(rng, 60) + ["a" * 30, "01" * 20, "x.y", "AAAAAAAAAABBBBBBBBBB=="]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.examined(F.col("t")).alias("p")).collect()
+    for r in got:
+        want = plain_examined(r["t"])
+        assert (r["p"] is None) == (want is None)
+        if want:
+            assert abs(r["p"]["battery"] - want[0]) < 2e-5 and abs(r["p"]["natural"] - want[1]) < 2e-5, (r, want)
+
+
+def test_natural_models_are_distributions():
+    for name, _, alphabet in secrets.ENCODINGS:
+        p = secrets.natural_model(name, alphabet)
+        assert len(p) == len(alphabet) and min(p) > 0 and abs(sum(p) - 1) < 1e-9
+        _, mean, deviation = secrets.log_ratios(name, alphabet)
+        assert mean < 0 < deviation
+
+
+def test_discoveries_are_benjamini_and_hochberg():
+    rng = random.Random(5)
+    for _ in range(200):
+        steps = [rng.choice([0, 1, rng.randint(0, 60), rng.randint(0, 400)]) for _ in range(rng.randint(0, 40))]
+        first = secrets.discoveries([(1, s, n) for s, n in collections.Counter(steps).items()])[1]
+        p = sorted(10 ** (-s / 20) for s in steps)
+        most = max((k for k in range(1, len(p) + 1) if p[k - 1] <= secrets.RATE * k / len(p)), default=0)
+        assert sum(s >= first for s in steps) == most
+
+
+@pytest.mark.parametrize("share", [0.5, 0.03])
+def test_false_discoveries_and_recall(spark, share):
+    """Planted keys are found and natural strings left alone, whichever of them is rare."""
+    rng = random.Random(8)
+    n = 1200
+    keys = int(n * share)
+    planted = ["".join(rng.choice(a) for _ in range(rng.choice([20, 24, 32, 40, 64]))) for a in (list(ENCODED.values())[k % 4] for k in range(keys))]
+    rows = [(i, f"see {t} there") for i, t in enumerate(planted + natural_names(rng, n - keys))]
+    got = [r["spans"] for r in secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).orderBy("doc_id").collect()]
+    found, false = sum("random" in s for s in got[:keys]), sum("random" in s for s in got[keys:])
+    assert found >= 0.85 * keys and false <= max(1, 2 * secrets.RATE * (found + false)), (found, keys, false)
+
+
+def test_rest_of_a_covered_run_and_base_values(spark):
+    rng = random.Random(3)
+    key = "".join(rng.choice(ENCODED["base62"]) for _ in range(40))
+    rows = [(1, f"{key}_0123456789abcdef01234567"), (None, "x" * 100_000 + f" {key} "), (3, "token = '0f9e8d7c6b5a4f3e2d1c0b9a8f7e6d5c4b3a2f1e' password=aaaaaaaaaaaaaaaaaaaa"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("base", "found", "p", "candidates", "row")})
+    got = {(r["doc_id"], r["n_assign"]): r for r in secrets.digest(secrets.scan(df)).collect()}
+    assert got[1, 0]["spans"] == "random:0:41,hex:41:65" and got[None, 0]["spans"].startswith("random:100001:")
+    assert got[3, 2]["n_random_base"] >= 1 and got[3, 0]["spans"] == ""
