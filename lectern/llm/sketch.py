@@ -1,27 +1,35 @@
-"""Near-duplicates at a similarity: candidates by wide SimHash fingerprints, links by exact similarity.
-
-A 64-bit fingerprint tells a similarity of 0.8 from one of 0.5 badly, and pairs at 0.8 differ in ten of its bits.
-Here a text's distinct shingles of ``WORDS`` words give ``BITS`` bits, of which a pair of similarity J differs in a
-share of at most acos(2J / (1 + J)) / pi: 15.2 % at 0.8. The fingerprint is cut into blocks of one byte; ``KEYS``
-triples of blocks are keys, and fingerprints that share a key are compared. A pair at 0.8 shares one with probability
-0.966, one at 0.85 with 0.997 (in a model of 300 shingles). Runs of a key are compared by the first 128 bits; short runs give the pairs that are
-close there, longer ones their members with such a pair, of which a minimum spanning tree by all bits follows. A candidate has at most ``DISTANCE``
-differing bits. The first ``FIRST_KEYS`` keys go first; what they join counts as joined in the runs of the others, which only
-give candidates between different families: so candidates grow with the members of a family, not with members times keys. A run over ``RUN_LIMIT`` is compared in pairs of blocks of
-members, each a task of its own; nothing is capped.
+"""Near-duplicates at a similarity: pigeonhole blocks of shingle sets, wide SimHash fingerprints, exact similarity.
+
+A 64-bit fingerprint tells a similarity of 0.8 from one of 0.5 badly, and pairs at 0.8 differ in ten of its bits. Here the
+fingerprint whose blocks are joined is the widest there is, one bit for every possible shingle of ``WORDS`` words. Two sets of
+similarity 0.8 or more differ in at most ``k``, a ninth of their sizes' sum, of these bits. The bits are dealt into blocks by
+a hash, more than ``k`` of them, so some block is equal in both: no pair is lost. A block's key is a hash of the shingles in it.
+Both sets must be dealt into the same number of blocks: sizes fall into levels that grow by ``RATIO``, a level's number
+of blocks follows from its largest size, and a set is dealt for its own level and, if a set a quarter larger may be there, the next one.
+An equal block must not be an empty one, which very many sets share. A set with more than ``k`` blocks that are not empty has an
+equal block that is not; a set without is dealt again by another hash, as often as needed. Of two similar sets both are dealt
+up to the first time that one of them has enough, so empty blocks need no key.
+
+Sets that share a key are verified by SimHash: ``BITS`` bits, of which a pair of similarity J differs in a share of at
+most acos(2J / (1 + J)) / pi, 15.2 % at 0.8 (18.8 % for sets of four and five). Runs of a key are compared by the first 128
+bits; short runs give the pairs that are close there, longer ones their members with such a pair, of which a minimum spanning tree
+by all bits follows. A candidate has at most ``DISTANCE`` differing bits, which lies eight standard deviations beyond a pair at
+0.8 (four to five for the smallest sets; ``FIRST_DISTANCE`` six, and five). An eighth of the keys goes first; what it joins counts as joined in the
+runs of the others, which only give candidates between different families: so candidates grow with the members of a
+family, not with members times keys. A run over ``RUN_LIMIT`` is compared in pairs of blocks of members, each a task of its own; nothing is capped.
 
 Candidates only tell families, the components of candidate pairs. Within a family all distinct texts are compared by
 their sets of shingles, and a link is a pair whose Jaccard similarity is ``SIMILARITY`` or more. A family over
 ``RUN_LIMIT`` texts or ``SHINGLES`` shingles is compared in pairs of blocks. Components are those of the links.
 
-Fingerprints that agree in their first 128 bits are one node of the search for families.
-
-Defined cases: null, empty and white-space texts have fingerprint zero and link with each other; texts with fewer
+Defined cases: null, empty and white-space texts have no shingle and link with each other; texts with fewer
 words than a shingle count as one; repeated rows and null ids are treated as in :mod:`simhash`; other columns are kept.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +38,17 @@ from .simhash import components_of, representatives, shingle_hashes
 
 WORDS = 5
 BITS = 1024
-KEYS = 210
-FIRST_KEYS = 14
 SIMILARITY = 0.8
+#: Largest over smallest size, about, of a level.
+RATIO = 1.4
+#: Blocks per block that may differ, so that enough of them are not empty.
+SPARE = 1.3
 #: For candidates. The share at similarity 0.8 is 155 bits with a standard deviation of 11.5.
-DISTANCE = 190
-#: The same in the first 128 bits, with four standard deviations to spare.
-FIRST_DISTANCE = 36
+DISTANCE = 250
+#: The same in the first 128 bits: 19.5 with a standard deviation of 4.1.
+FIRST_DISTANCE = 46
+#: One in so many keys goes first.
+FIRST = 8
 RUN_LIMIT = 2048
 #: Of a family's block.
 SHINGLES = 1 << 20
@@ -69,11 +81,16 @@ def ones(h):
         level, weight = np.concatenate(carried), 2 * weight
 
 
-def sketch(text: str | None, words: int = WORDS):
-    """``BITS`` bits as unsigned 64-bit lanes: a bit is 1 if over half of the distinct shingles' hashes have it."""
+def distinct_shingles(text: str | None, words: int = WORDS):
+    import numpy as np
+
+    return np.unique(shingle_hashes(text, words))
+
+
+def sketch_of(h):
+    """``BITS`` bits as unsigned 64-bit lanes: a bit is 1 if over half of the hashes of distinct shingles have it."""
     import numpy as np
 
-    h = np.unique(shingle_hashes(text, words))
     if not len(h):
         return np.zeros(_LANES, np.uint64)
     total, mult = np.zeros(BITS, np.int64), _lanes()
@@ -85,34 +102,152 @@ def sketch(text: str | None, words: int = WORDS):
     return np.packbits(total * 2 > len(h)).view(">u8").astype(np.uint64)
 
 
+def sketch(text: str | None, words: int = WORDS):
+    return sketch_of(distinct_shingles(text, words))
+
+
+@cache
+def levels(size: int, similarity: float = SIMILARITY) -> tuple[tuple[int, int, int], ...]:
+    """``(level, bits that may differ, blocks)`` for each level in which a set of ``size`` may meet a similar one that is not smaller."""
+    out, level, low = [], 0, 1
+    while low <= size / similarity + 1e-9:
+        high = max(low, int(low * RATIO) - 1)
+        if size <= high:
+            differ = int((1 - similarity) / (1 + similarity) * 2 * high + 1e-9)
+            out.append((level, differ, differ and int(SPARE * (differ + 1)) + 1 or 1))
+        level, low = level + 1, high + 1
+    return tuple(out)
+
+
+def block_keys(sets, similarity: float = SIMILARITY):
+    """Keys of the blocks, not empty ones, of each set (arrays of distinct hashes): one array of all keys, and the number of each set's."""
+    import numpy as np
+
+    rng = np.random.default_rng(31)
+    value, odd = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+    todo = [(i, *level) for i, x in enumerate(sets) if len(x) for level in levels(len(x), similarity)]
+    keys, owners, turn = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while todo:
+        deal, mark = rng.integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
+        row, level, differ, blocks = (np.array(c, np.int64) for c in zip(*todo))
+        sizes = np.array([len(sets[i]) for i in row])
+        h = np.concatenate([sets[i] for i in row]).view(np.uint64)
+        at = np.cumsum(blocks) - blocks  # a number for each block of each set
+        spread = ((h * deal) >> np.uint64(32)) * np.repeat(blocks.astype(np.uint64), sizes) >> np.uint64(32)
+        place = np.repeat(at, sizes) + spread.astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        place, mixed = place[order], (h * value) ^ (h >> np.uint64(31))
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        total, place = np.add.reduceat(mixed[order], first), place[first]
+        of = np.searchsorted(at, place, "right") - 1
+        number = ((level[of] << 40) + (place - at[of])).astype(np.uint64)
+        key = (total + number * odd) * mark
+        keys.append(key ^ (key >> np.uint64(29)))
+        owners.append(row[of])
+        filled = np.bincount(of, minlength=len(todo))
+        todo = [t for t, n, d in zip(todo, filled.tolist(), differ.tolist()) if n <= d]
+        turn += 1
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return key[order].view(np.int64), np.bincount(owner, minlength=len(sets))
+
+
+def set_hash(h) -> int:
+    """A hash of a set of hashes, as a signed long; 0 for the empty one."""
+    import numpy as np
+
+    x = h * np.uint64(0xC2B2AE3D27D4EB4F)
+    return int((x ^ (x >> np.uint64(32))).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0
+
+
+def _runs(texts: list, most: int = 1_000_000):
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``(doc_id, text_hash, fp struct<a, b>, lanes array<long>)``; ``fp`` holds the first two lanes. Narrow."""
+    """``(doc_id, text_hash, fp, lanes array<long>)``; ``fp`` is a hash of the set of shingles. Narrow.
+
+    A task gives ``lanes`` once for each set that it meets, and null with its copies.
+    """
     import pyarrow as pa
 
     small_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
 
+    def run(it):
+        seen: set[int] = set()
+        for b in it:
+            fp, lanes = [], []
+            for t in b.column(1):
+                h = distinct_shingles(t.as_py(), words)
+                fp.append(set_hash(h))
+                lanes.append(None if fp[-1] in seen else sketch_of(h).view("int64"))
+                seen.add(fp[-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.int64()), pa.array(lanes, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "lanes"])
+
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {id_type}, text_hash long, fp long, lanes array<long>")
+
+
+def keyed(df: DataFrame, text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """``(key, fp)`` of every block of every set of shingles, once for each task that meets the set. Narrow."""
+    import pyarrow as pa
+
+    small_batches(df.sparkSession)
+
     def run(it):
         import numpy as np
 
+        seen: set[int] = set()
         for b in it:
-            x = np.concatenate([sketch(t.as_py(), words) for t in b.column(1)] or [np.zeros(0, np.uint64)]).view(np.int64)
-            lanes = pa.ListArray.from_arrays(pa.array(range(0, len(x) + 1, _LANES), pa.int32()), pa.array(x))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lanes], names=["doc_id", "text_hash", "lanes"])
+            texts = b.column(0).to_pylist()
+            for x, y in _runs(texts):
+                new = {fp: h for h in (distinct_shingles(t, words) for t in texts[x:y]) if (fp := set_hash(h)) not in seen}
+                seen.update(new)
+                key, n = block_keys(list(new.values()))
+                fp = np.repeat(np.array(list(new), np.int64), n)
+                for at in range(0, len(key), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[at : at + (1 << 18)]), pa.array(fp[at : at + (1 << 18)])], names=["key", "fp"])
 
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    out = rows.mapInArrow(run, f"doc_id {id_type}, text_hash long, lanes array<long>")
-    return out.select("doc_id", "text_hash", F.struct(F.col("lanes")[0].alias("a"), F.col("lanes")[1].alias("b")).alias("fp"), "lanes")
+    return df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, fp long")
 
 
-def triples(keys: int = KEYS):
-    """Triples of byte blocks: permutations of all blocks, cut up."""
-    import numpy as np
+def shared_keys(blocks: DataFrame) -> DataFrame:
+    """The rows of ``(key, fp)``, without repeats, whose key several sets have: most keys go here."""
+    import pyarrow as pa
 
-    rng, out, n = np.random.default_rng(24), [], BITS // 8
-    while len(out) < keys:
-        out += rng.permutation(n)[: n // 3 * 3].reshape(-1, 3).tolist()
-    return np.array(out[:keys])
+    def run(it):
+        import numpy as np
+
+        last, held, open_key = None, None, None  # the last row; it, if it waits for a second of its key; a key that has several
+        for b in it:
+            x = np.stack([b.column(i).to_numpy() for i in (0, 1)], 1)
+            before = np.concatenate(([last if last is not None else x[0] + 1], x[:-1]))
+            last = x[-1]
+            x = x[(x != before).any(1)]
+            if held is not None:
+                x = np.concatenate((held, x))
+            if not len(x):
+                continue
+            k = x[:, 0]
+            same = np.concatenate(([False], k[1:] == k[:-1], [False]))
+            several = same[1:] | same[:-1]
+            if open_key is not None:
+                several |= k == open_key
+            held = None if several[-1] else x[-1:]
+            open_key = int(k[-1]) if several[-1] else None
+            out = x[several]
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["key", "fp"])
+
+    return blocks.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "key long, fp long")
 
 
 def _near_tree(x, group, distance: int):
@@ -161,29 +296,16 @@ def _run_links(key, x, group, distance: int):
     return np.concatenate(out), np.concatenate(rest)
 
 
-def candidates(nodes: DataFrame, keys: slice, distance: int = DISTANCE, first_distance: int = FIRST_DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes of different groups that share one of ``keys`` and are close in their first lanes.
+def candidates(met: DataFrame, nodes: DataFrame, distance: int = DISTANCE, first_distance: int = FIRST_DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes of different groups that share a key and are close in their first lanes.
 
-    Those of long runs are close in all lanes and span the run's components.
-    ``nodes`` has ``fp``, ``lanes`` and ``joined``, a number that nodes of one group have in common.
+    Those of long runs are close in all lanes and span the run's components. ``met`` has ``key``, ``fp``, the first
+    two lanes ``x`` and ``y``, and ``g``, a number that nodes of one group have in common; ``nodes`` has ``fp`` and ``lanes``.
     """
     import pyarrow as pa
 
-    def emit(it):
-        import numpy as np
-
-        t = triples()[keys]
-        for b in it:
-            lanes = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, _LANES)
-            blocks = lanes.astype(">i8").view(np.uint8).reshape(len(lanes), -1).astype(np.int64)
-            key = (np.arange(KEYS)[keys] << 24) | (blocks[:, t[:, 0]] << 16) | (blocks[:, t[:, 1]] << 8) | blocks[:, t[:, 2]]
-            for at in range(0, len(lanes), 64):
-                k = key[at : at + 64]
-                own = (*lanes[at : at + 64, :2].T, b.column(1).to_numpy()[at : at + 64])
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *(pa.array(np.repeat(c, k.shape[1])) for c in own)], names=["key", "a", "b", "g"])
-
     def rows(kind, key, p, q):
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(p), pa.int32()), pa.array(key), *(pa.array(c) for c in (p[:, 0], p[:, 1], p[:, 2], q[:, 0], q[:, 1]))], names=["kind", "key", "a", "b", "g", "c", "d"])
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(p), pa.int32()), pa.array(key), *(pa.array(c) for c in (p[:, 0], q[:, 0], p[:, 3]))], names=["kind", "key", "a", "b", "g"])
 
     def done(key, x):
         import numpy as np
@@ -194,7 +316,7 @@ def candidates(nodes: DataFrame, keys: slice, distance: int = DISTANCE, first_di
             yield rows(1, key[long], x[long], x[long])
             key, x = key[~long], x[~long]
         if len(key):
-            e, rest = _run_links(key, x[:, :2].view(np.uint64), x[:, 2], first_distance)
+            e, rest = _run_links(key, x[:, 1:3].view(np.uint64), x[:, 3], first_distance)
             if len(e):
                 yield rows(0, key[e[:, 0]], x[e[:, 0]], x[e[:, 1]])
             if len(rest):
@@ -203,10 +325,10 @@ def candidates(nodes: DataFrame, keys: slice, distance: int = DISTANCE, first_di
     def compare(it):
         import numpy as np
 
-        key, x, over = np.zeros(0, np.int64), np.zeros((0, 3), np.int64), None
+        key, x, over = np.zeros(0, np.int64), np.zeros((0, 4), np.int64), None
         for b in it:
             key = np.concatenate((key, b.column(0).to_numpy()))
-            x = np.concatenate((x, np.stack([b.column(i).to_numpy() for i in (1, 2, 3)], 1)))
+            x = np.concatenate((x, np.stack([b.column(i).to_numpy() for i in (1, 2, 3, 4)], 1)))
             if over is not None:  # the rest of a run that is already known to be too long
                 n = int(np.searchsorted(key, over, "right"))
                 if n:
@@ -231,40 +353,44 @@ def candidates(nodes: DataFrame, keys: slice, distance: int = DISTANCE, first_di
         import numpy as np
         import pandas as pd
 
-        x = pdf[["a", "b"]].to_numpy()
-        lanes = np.stack(pdf["lanes"].to_numpy()).view(np.uint64)
-        e = np.array(_near_tree(lanes, pdf["g"].to_numpy(), distance), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": x[e[:, 0], 0], "b": x[e[:, 0], 1], "c": x[e[:, 1], 0], "d": x[e[:, 1], 1]})
+        own = pdf["fp"].to_numpy()
+        e = np.array(_near_tree(np.stack(pdf["lanes"].to_numpy()).view(np.uint64), pdf["g"].to_numpy(), distance), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": own[e[:, 0]], "b": own[e[:, 1]]})
 
-    keyed = nodes.select("lanes", "joined").mapInArrow(emit, "key long, a long, b long, g long").repartition("key").sortWithinPartitions("key")
-    first, _ = materialise(keyed.mapInArrow(compare, "kind int, key long, a long, b long, g long, c long, d long"), "candidates")
-    found = first.where("kind = 0").select("a", "b", "c", "d")
-    long = first.where("kind = 1").select("key", "a", "b", "g")
+    met = met.select("key", "fp", "x", "y", "g").repartition("key").sortWithinPartitions("key", "fp")
+    first, _ = materialise(met.mapInArrow(compare, "kind int, key long, a long, b long, g long"), "candidates")
+    found = first.where("kind = 0").select("a", "b")
+    long = first.where("kind = 1").select("key", F.col("a").alias("fp"), "g")
     if long.limit(1).count():
         blocks = long.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / run_limit).cast("int").alias("blocks"))
-        own = long.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int"))
+        own = long.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "a", "b", "g")
-        pairs = pairs.join(nodes.select(F.col("fp.a").alias("a"), F.col("fp.b").alias("b"), "lanes"), ["a", "b"])
-        found = found.union(pairs.groupBy("key", "i", "j").applyInPandas(across, "a long, b long, c long, d long"))
-    return found.distinct().select(F.struct("a", "b").alias("a"), F.struct(F.col("c").alias("a"), F.col("d").alias("b")).alias("b"))
+        pairs = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "g")
+        found = found.union(pairs.join(nodes, "fp").groupBy("key", "i", "j").applyInPandas(across, "a long, b long"))
+    return found.distinct()
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """Links ``(a, b)`` by all bits between the nodes of ``prints``, which have the components of all such links found."""
-    nodes, _ = materialise(prints.groupBy("fp").agg(F.min("lanes").alias("lanes")), "nodes")
+def links(prints: DataFrame, shared: DataFrame, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """Links ``(a, b)`` by all bits between sets of ``shared`` that have a key in common, which have the components of all such links."""
+    nodes = prints.groupBy("fp").agg(F.min("lanes").alias("lanes"))
+    nodes, _ = materialise(nodes.join(shared.select("fp").distinct(), "fp", "left_semi"), "nodes")
     one = nodes.select(F.col("fp").alias("a"), F.col("lanes").alias("x"))
     two = nodes.select(F.col("fp").alias("b"), F.col("lanes").alias("y"))
     bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    early = F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0
 
-    def verified(known, keys):
-        near = candidates(known, keys, distance, run_limit=run_limit)
+    def verified(keys, groups):
+        near = candidates(keys.join(groups, "fp"), nodes, distance, run_limit=run_limit)
         return near.join(one, "a").join(two, "b").where(bits <= distance).select("a", "b")
 
-    first = verified(nodes.withColumn("joined", F.xxhash64("fp")), slice(0, FIRST_KEYS))
-    joined, _ = materialise(connected_components(first), "joined")
-    known = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "lanes", F.xxhash64(F.coalesce("root", "fp")).alias("joined"))
-    return joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(known, slice(FIRST_KEYS, KEYS)))
+    first_lanes = (F.col("lanes")[0].alias("x"), F.col("lanes")[1].alias("y"))
+    joined, _ = materialise(connected_components(verified(shared.where(early), nodes.select("fp", *first_lanes, F.xxhash64("fp").alias("g")))), "joined")
+    known = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", *first_lanes, F.xxhash64(F.coalesce("root", "fp")).alias("g"))
+    # a key whose sets are all of one group has nothing to tell
+    late = shared.where(~early).join(known.select("fp", "g"), "fp")
+    mixed = late.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("key")
+    rest, _ = materialise(late.join(mixed, "key", "left_semi").select("key", "fp"), "mixed-keys")
+    return joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(rest, known))
 
 
 def _similar(sets, similarity: float):
@@ -303,7 +429,7 @@ def similar(df: DataFrame, prints: DataFrame, near: DataFrame, id_col: str, text
         import numpy as np
 
         for b in it:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column(2)]
+            sets = [distinct_shingles(t.as_py(), words).view(np.int64) for t in b.column(2)]
             ends = np.cumsum([0, *map(len, sets)])
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), column], names=["family", "text_hash", "shingles"])
@@ -333,7 +459,8 @@ def similar(df: DataFrame, prints: DataFrame, near: DataFrame, id_col: str, text
 
 def _components(df: DataFrame, id_col: str, text_col: str, words: int, distance: int, run_limit: int) -> tuple[DataFrame, DataFrame]:
     prints, _ = materialise(sketches(df, id_col, text_col, words), "sketches")
-    found = similar(df, prints, links(prints, distance, run_limit), id_col, text_col, words, run_limit=run_limit)
+    shared, _ = materialise(shared_keys(keyed(df, text_col, words)), "shared-keys")
+    found = similar(df, prints, links(prints, shared, distance, run_limit), id_col, text_col, words, run_limit=run_limit)
     prints = prints.select("doc_id", "text_hash", F.col("text_hash").alias("fp"))
     return prints, components_of(prints, found)
 

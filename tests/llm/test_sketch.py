@@ -54,9 +54,7 @@ def test_sketch_equals_plain(rows):
 
 @pytest.mark.parametrize("limit", [2048, 12])
 def test_components_equal_brute_force(spark, copies, limit):
-    x = [sketch.sketch(t) for t in copies]
-    n = len(x)
-    want = roots(n, [(a, b) for a in range(n) for b in range(a) if apart(x[a], x[b]) <= sketch.DISTANCE])
+    n, want = len(copies), jaccard_roots(copies)
     df = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string").repartition(3)
     got = dict(sketch.near_duplicates(df, run_limit=limit).collect())
     assert got == dict(enumerate(want))
@@ -68,8 +66,7 @@ def test_components_equal_brute_force(spark, copies, limit):
 def test_deduplicated(docs, rows, empty):
     got = sketch.deduplicated(docs)
     assert got.columns == docs.columns
-    x = [sketch.sketch(r[1]) for r in rows]
-    top = roots(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if apart(x[a], x[b]) <= sketch.DISTANCE])
+    top = jaccard_roots([r[1] for r in rows])
     groups = collections.defaultdict(list)
     for i, r in enumerate(top):
         groups[r].append(rows[i][0])
@@ -81,7 +78,7 @@ def test_deduplicated(docs, rows, empty):
 def jaccard_roots(texts):
     sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
     n = len(sets)
-    return roots(n, [(a, b) for a in range(n) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    return roots(n, [(a, b) for a in range(n) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
 
 
 @pytest.mark.parametrize("limit", [2048, 12])
@@ -108,3 +105,60 @@ def test_spanning_forest_of_sets():
     sets += [np.zeros(0, np.int64)] * 2
     want = roots(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if len(u := set(sets[a]) | set(sets[b])) == 0 or len(set(sets[a]) & set(sets[b])) / len(u) >= 0.8])
     assert roots(len(sets), sketch._similar(sets, 0.8)) == want
+
+
+def test_similar_sets_always_share_a_key():
+    """Pairs at 0.8 and just above, of all small sizes and some large ones, and what is different dealt by chance."""
+    rng = np.random.default_rng(1)
+    for n in [*range(1, 130), 400, 1500, 6000]:
+        sets = []
+        for _ in range(40 if n < 200 else 4):
+            x = np.unique(rng.integers(1, 1 << 63, 2 * n + 2, dtype=np.uint64))
+            rng.shuffle(x)
+            gone = int(rng.integers(0, n // 5 + 1))
+            new = max(0, int((n - gone) / 0.8 + 1e-9) - n)  # as many as similarity 0.8 allows
+            new = int(rng.integers(0, new + 1)) if rng.random() < 0.3 else new
+            a, b = x[:n], np.concatenate((x[: n - gone], x[n : n + new]))
+            assert not len(b) or 5 * (n - gone) >= 4 * (n + new)
+            sets += [np.unique(a), np.unique(b)]
+        keys, count = sketch.block_keys(sets)
+        at = np.concatenate(([0], np.cumsum(count)))
+        for i in range(0, len(sets), 2):
+            assert not len(sets[i + 1]) or len(np.intersect1d(keys[at[i] : at[i + 1]], keys[at[i + 1] : at[i + 2]])), n
+    keys, count = sketch.block_keys([np.zeros(0, np.uint64), np.array([5], np.uint64)])
+    assert count.tolist() == [0, 1]
+    assert len(sketch.block_keys([])[0]) == 0
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_only_shared_keys_stay(spark, batch):
+    rng = random.Random(4)
+    rows = [(rng.randrange(60), rng.randrange(40)) for _ in range(90)] + [(500 + i, 1) for i in range(30)] + [(7, i) for i in range(200)] + [(900, 3)] * 5
+    sets = collections.defaultdict(set)
+    for k, f in rows:
+        sets[k].add(f)
+    want = sorted((k, f) for k, s in sets.items() if len(s) > 1 for f in s)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        assert sorted(map(tuple, sketch.shared_keys(spark.createDataFrame(rows, "key long, fp long")).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_no_link_is_lost(spark):
+    """Families at every similarity about 0.8, of texts of five to four hundred words, beside a passage that many texts share."""
+    rng = random.Random(17)
+    texts, passage = [], prose(rng, 60)
+    for n in [*range(5, 40, 3), 60, 120, 400]:
+        for _ in range(5):
+            words = [f"w{rng.randrange(10**7)}" for _ in range(n)]
+            for changed in (1, max(1, n // 50), max(1, n // 25)):
+                mine = list(words)
+                for _ in range(changed):
+                    mine[rng.randrange(n)] = f"x{rng.randrange(10**7)}"
+                texts.append(" ".join(mine))
+            texts.append(" ".join([*words, *(f"y{rng.randrange(10**7)}" for _ in range(n // 5))]))
+    texts += [f"{passage} {prose(rng, rng.randint(5, 60))}" for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert dict(sketch.near_duplicates(df).collect()) == dict(enumerate(jaccard_roots(texts)))
