@@ -56,5 +56,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_bpe, op3_sharding, op4_toxicity, op5_embedding_dedup, op6_token_counts, op7_quality, op8_secrets, op9_ann, op10_simhash)}
 
 
+#: Cosines of all pairs with one label, and what is reachable by links: small tables only.
+_OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), linked AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN linked l ON l.a = r.b
+)
+SELECT r.a AS vec_id, (SELECT count(*) FROM linked l WHERE l.a = r.a) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM reach r GROUP BY r.a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_embedding_dedup": _OP5_SQL}
