@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -76,21 +77,30 @@ def pipe_cells(line: Column) -> Column:
     return F.transform(F.split(inner, r"\|", -1), strip)
 
 
+def _between(breaks: Column, n: Column, f) -> Column:
+    """``f(first, length)`` of each run of elements between neighbours of ``breaks``, a rising array of positions to leave out."""
+    def runs(edges):
+        m = F.size(edges)
+        return F.zip_with(F.slice(edges, F.lit(1), m - 1), F.slice(edges, F.lit(2), m - 1), f)
+
+    # one-element arrays stand for a let: each value is computed once
+    return F.element_at(F.transform(F.array(F.concat(F.array(F.lit(-1)), breaks, F.array(n))), runs), 1)
+
+
 def pipe_tables(text: Column) -> Column:
-    """Matrices of pipe tables, in order: one fold over the lines, no shuffle.
+    """Matrices of pipe tables, in order, in linear time: tables are what lies between lines that are no row."""
+    rows = F.transform(F.split(text, "\n", -1), lambda t: F.struct(is_pipe_row(t).alias("row"), t.rlike(_java(SEPARATOR_ROW)).alias("sep"), t.alias("line")))
 
-    Only the kept rows are folded: a row that opens a table is marked by the line before it.
-    """
-    lines = F.split(text, "\n", -1)
-    rows = F.transform(lines, lambda t: F.struct(is_pipe_row(t).alias("row"), t.rlike(_java(SEPARATOR_ROW)).alias("sep"), t.alias("line")))
-    zero = F.struct(F.expr(f"cast(array() as array<{MATRIX}>)").alias("done"), F.expr(f"cast(array() as {MATRIX})").alias("open"))
+    def tables(x):
+        other = F.filter(F.transform(x, lambda r, i: F.when(~r["row"], i)), lambda i: i.isNotNull())
 
-    def add(s, r):
-        closed = F.struct(F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"), zero["open"].alias("open"))
-        grown = F.struct(s["done"].alias("done"), F.concat(s["open"], F.array(pipe_cells(r["line"]))).alias("open"))
-        return F.when(r["row"] & r["sep"], s).when(r["row"], grown).otherwise(closed)
+        def table(a, b):
+            own = F.filter(F.slice(x, a + 2, b - a - 1), lambda r: ~r["sep"])
+            return F.transform(own, lambda r: pipe_cells(r["line"]))
 
-    return F.aggregate(rows, zero, add, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
+        return F.filter(_between(other, F.size(x), table), lambda t: F.size(t) > 0)
+
+    return F.element_at(F.transform(F.array(rows), tables), 1)
 
 
 def without_pipe_rows(text: Column) -> Column:
@@ -154,13 +164,18 @@ def matrix_html(matrix: Column) -> Column:
 
 
 def sections(text: Column) -> Column:
-    """Slices that start at a second-level heading; blank ones go."""
-    def add(done, line):
-        n = F.size(done)
-        opens = (n == 0) | line.rlike("(?d)" + _java(SECTION))
-        return F.when(opens, F.concat(done, F.array(line))).otherwise(F.concat(F.slice(done, 1, n - 1), F.array(F.concat(F.element_at(done, -1), F.lit("\n"), line))))
+    """Slices that start at a second-level heading, in linear time; blank ones go."""
+    def cut(lines):
+        opens = F.filter(F.transform(lines, lambda t, i: F.when((i == 0) | t.rlike("(?d)" + _java(SECTION)), i)), lambda i: i.isNotNull())
+        edges = F.concat(opens, F.array(F.size(lines)))
+
+        def slices(e):
+            m = F.size(e)
+            return F.zip_with(F.slice(e, F.lit(1), m - 1), F.slice(e, F.lit(2), m - 1), lambda a, b: F.array_join(F.slice(lines, a + 1, b - a), "\n"))
+
+        return F.element_at(F.transform(F.array(edges), slices), 1)
 
-    return F.filter(F.aggregate(F.split(text, "\n", -1), F.expr("cast(array() as array<string>)"), add), lambda s: strip(s) != "")
+    return F.filter(F.element_at(F.transform(F.array(F.split(text, "\n", -1)), cut), 1), lambda s: strip(s) != "")
 
 
 # Python forms, for the scoring kernels
@@ -172,67 +187,65 @@ def cell_text(text: str | None) -> str:
 
 
 class _Rows(HTMLParser):
-    """Cells of the first table: rows nearest to it, their direct cells, all text below those."""
+    """Cells of the first table: rows nearest to it, their direct cells, all text below those.
+
+    A cell that is not closed stays open: rows and cells that follow are inside of it, and their text is its text too.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[str] = []
-        self.rows: list[list[str]] = []
-        self.texts: list[list[str]] = []
+        self.stack: list[tuple[str, list[str] | None]] = []  # open tags, and the text of a tag that is a cell
+        self.texts: list[list[list[str]]] = []
         self.depth_of_first: int | None = None
         self.over = False
 
-    def _inside(self) -> bool:
-        return self.depth_of_first is not None and not self.over
-
     def handle_starttag(self, tag, attrs):
+        cell = None
         if tag == "table" and self.depth_of_first is None:
             self.depth_of_first = len(self.stack)
-        elif self._inside():
-            nested = "table" in self.stack[self.depth_of_first + 1 :]
+        elif self.depth_of_first is not None and not self.over:
+            nested = any(t == "table" for t, _ in self.stack[self.depth_of_first + 1 :])
             if tag == "tr" and not nested:
-                self.rows.append([])
                 self.texts.append([])
-            elif tag in ("td", "th") and self.stack and self.stack[-1] == "tr" and not nested and self.rows:
-                self.texts[-1].append("")
-                self.stack.append(tag + "*")
-                return
+            elif tag in ("td", "th") and self.stack[-1][0] == "tr" and not nested and self.texts:
+                cell = []
+                self.texts[-1].append(cell)
         if tag not in ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"):
-            self.stack.append(tag)
+            self.stack.append((tag, cell))
 
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].rstrip("*") == tag:
+            if self.stack[i][0] == tag:
                 del self.stack[i:]
                 if self.depth_of_first is not None and len(self.stack) <= self.depth_of_first:
                     self.over = True
                 return
 
     def handle_data(self, data):
-        if self._inside() and any(t.endswith("*") for t in self.stack) and self.texts and self.texts[-1]:
-            self.texts[-1][-1] += data
+        if not self.over:
+            for _, cell in self.stack:
+                if cell is not None:
+                    cell.append(data)
 
 
 def matrix_of_html(html: str) -> list[list[str]]:
     p = _Rows()
     p.feed(html)
     p.close()
-    return [[cell_text(c) for c in row] for row in p.texts]
+    return [[cell_text("".join(c)) for c in row] for row in p.texts]
 
 
 def pipe_matrices_of(text: str) -> tuple[str, list[list[list[str]]]]:
-    found, table, kept = [], [], []
-    for line in text.split("\n"):
-        t = line.strip()
-        if t.startswith("|") and t.count("|") >= 2:
-            if not _PY["sep"].match(line):
-                table.append([c.strip() for c in t.removeprefix("|").removesuffix("|").split("|")])
-            continue
-        if table:
-            found.append(table)
-            table = []
-        kept.append(line)
-    return "\n".join(kept), found + ([table] if table else [])
+    """The lines that are no row, joined, and a matrix for each run of rows that has more than separators."""
+    def is_row(line: str) -> bool:
+        return (t := line.strip()).startswith("|") and t.count("|") >= 2
+
+    def cells(line: str) -> list[str]:
+        return [c.strip() for c in line.strip().removeprefix("|").removesuffix("|").split("|")]
+
+    runs = [(row, list(lines)) for row, lines in groupby(text.split("\n"), key=is_row)]
+    matrices = [[cells(t) for t in lines if not _PY["sep"].match(t)] for row, lines in runs if row]
+    return "\n".join(t for row, lines in runs if not row for t in lines), [m for m in matrices if m]
 
 
 def split_output(raw: str) -> tuple[str, list[list[list[str]]], list[list[list[str]]]]:

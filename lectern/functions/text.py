@@ -47,9 +47,27 @@ def re2(pattern: str, flags: str = "m") -> str:
     return f"(?{flags})" + pattern.replace("S", f"[{WS}]")
 
 
+def java_replacement(repl: str) -> str:
+    r"""A replacement in Python's form (``\1``, ``\g<1>``, ``\g<name>``) in Java's; a dollar sign stands for itself in Python."""
+    out = []
+    for number, name, escaped, plain in re.findall(r"\\(\d{1,2})|\\g<(\w+)>|\\(.)|([^\\]+)", repl, re.S):
+        if number or name:
+            out.append(f"${{{name}}}" if name and not name.isdigit() else f"${int(number or name)}")
+        else:
+            text = _ESCAPES.get(escaped, escaped) if escaped else plain
+            out.append(re.sub(r"([\\$])", r"\\\1", text))
+    return "".join(out)
+
+
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v", "a": "\a"}
+
+
 @dataclass(frozen=True)
 class Options:
-    """Switches of the steps, in the order in which they run."""
+    """Switches of the steps, in the order in which they run.
+
+    ``custom_regex_subs`` are pairs of a pattern and a replacement in Python's form, for columns as well as for plain texts.
+    """
 
     unify_unicode: bool = True
     strip_zero_width: bool = True
@@ -130,7 +148,7 @@ def normalized(text: Column, o: Options = Options()) -> Column:
     if o.lower_latin:
         text = F.lower(text)
     for pattern, repl in o.custom_regex_subs:
-        text = sub(text, pattern, repl)
+        text = sub(text, pattern, java_replacement(repl))
     if o.strip_punctuation:
         text = sub(text, PUNCT, "")
     if o.normalize_whitespace:

@@ -50,3 +50,23 @@ def test_runs(spark):
     runs = [("a", True, False), ("b", True, None), ("", False, False), ("c", True, True), ("d", None, True), ("e", False, False)]
     got = spark.createDataFrame([(runs,)], "r array<struct<text:string,bold:boolean,strike:boolean>>").select(m.coalesced_runs(F.col("r"))).first()[0]
     assert got == "**ab****~~c~~**~~d~~e"
+
+
+def test_open_cells_hold_what_follows():
+    assert m.matrix_of_html("<table><tr><td>a<tr><td>b</table>") == [["ab"], ["b"]]
+    assert m.matrix_of_html("<table><tr><td>a<b>c</b></td><th>d</th></tr></table>z<table><tr><td>y") == [["ac", "d"]]
+    assert m.matrix_of_html("< table>") == []
+
+
+def test_tables_and_sections_take_linear_time(spark):
+    import time
+
+    n = 40_000
+    raw = "\n".join("| a | b |" if i % 10 else "x" if i % 100 else "## s" for i in range(n))
+    df = spark.createDataFrame([(raw,)], "t string")
+    df.select(F.size(m.pipe_tables(F.lit("| a | b |"))), F.size(m.sections(F.lit("## a")))).collect()
+    began = time.time()
+    got = df.select(m.pipe_tables(F.col("t")).alias("p"), F.size(m.sections(F.col("t"))).alias("s")).collect()[0]
+    assert time.time() - began < 10
+    assert len(got["p"]) == n // 10 and {len(x) for x in got["p"]} == {9} and got["s"] == n // 100
+    assert got["p"] == m.pipe_matrices_of(raw)[1]

@@ -37,3 +37,12 @@ def test_tokenizers():
         text.tokenizer("letters")
     with pytest.raises(ImportError, match="kiwipiepy"):
         text.tokenizer("morpheme")("a")
+
+
+def test_group_references_mean_the_same_in_both_forms(spark):
+    """Python's replacements, for columns and plain texts: numbered and named groups, dollar signs, escapes."""
+    o = text.Options(custom_regex_subs=((r"([0-9]) +([0-9])", r"\1\2"), (r"(?<w>[a-z]+)=", r"\g<w>:"), (r"cost", "$5"), (r"(z)", r"\g<1>\\\1")), normalize_whitespace=False)
+    py = text.Options(**(o.__dict__ | {"custom_regex_subs": tuple((p.replace("?<w>", "?P<w>"), r) for p, r in o.custom_regex_subs)}))
+    texts = ["1 2 x", "key=1 cost z", "plain", "9  8=7"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.normalized(F.col("t"), o)).collect()]
+    assert got == [text.normalize(t, py) for t in texts] and got[0] == "12 x" and got[1] == "key:1 $5 z\\z"
