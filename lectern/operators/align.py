@@ -12,7 +12,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import Options, normalize, tokenizer
@@ -310,7 +310,50 @@ def slide_wer(gt: Column, pred: Column, profile_tokenizer: str = "eojeol", optio
     return run(gt, pred)
 
 
-# table functions for SQL and lateral joins
+# rows of alignments, as arrays to explode
+
+TOKEN_ROWS = "array<struct<op:string,gt_token:string,pred_token:string>>"
+LINE_ROWS = "array<struct<tag:string,gt_line:string,pred_line:string>>"
+THREE_ROWS = "array<struct<gt:string,before:string,after:string>>"
+
+
+def _lines(text: str | None) -> list[str]:
+    return [t for t in (text or "").split("\n") if t.strip()]
+
+
+def token_rows(pred: Column, gt: Column) -> Column:
+    """:func:`alignment` of the white-space tokens of two texts; null where either is."""
+    @F.pandas_udf(TOKEN_ROWS)
+    def run(p: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else [dict(zip(("op", "gt_token", "pred_token"), r)) for r in alignment(a.split(), b.split())] for a, b in zip(p, g, strict=True)])
+
+    return run(pred, gt)
+
+
+def line_rows(pred: Column, gt: Column) -> Column:
+    """:func:`line_diff` of two texts; null where either is."""
+    @F.pandas_udf(LINE_ROWS)
+    def run(p: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else [dict(zip(("tag", "gt_line", "pred_line"), r)) for r in line_diff(b, a)] for a, b in zip(p, g, strict=True)])
+
+    return run(pred, gt)
+
+
+def three_way_rows(gt: Column, before: Column, after: Column) -> Column:
+    """:func:`three_way` of the lines of three texts; a null text has none."""
+    @F.pandas_udf(THREE_ROWS)
+    def run(g: pd.Series, b: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series([three_way(*map(_lines, x)) for x in zip(g, b, a, strict=True)])
+
+    return run(gt, before, after)
+
+
+def exploded(df: DataFrame, keys: list[str], rows: Column, seq: str = "seq") -> DataFrame:
+    """``keys``, the number of a row in its array, and its fields."""
+    return df.select(*keys, F.posexplode(rows).alias(seq, "x")).select(*keys, seq, "x.*")
+
+
+# the same as table functions of SQL, in Arrow batches
 
 
 class TokenAlignment:
@@ -329,8 +372,7 @@ class LineDiff:
 
 class ThreeWay:
     def eval(self, gt: str, before: str, after: str):
-        lines = [[t for t in (s or "").split("\n") if t.strip()] for s in (gt, before, after)]
-        for seq, r in enumerate(three_way(*lines)):
+        for seq, r in enumerate(three_way(_lines(gt), _lines(before), _lines(after))):
             yield seq, r["gt"], r["before"], r["after"]
 
 
@@ -341,4 +383,4 @@ def register(spark) -> None:
         ("line_diff", LineDiff, "seq int, tag string, gt_line string, pred_line string"),
         ("three_way", ThreeWay, "seq int, gt string, before string, after string"),
     ):
-        spark.udtf.register(name, F.udtf(cls, returnType=schema))
+        spark.udtf.register(name, F.udtf(cls, returnType=schema, useArrow=True))

@@ -124,31 +124,27 @@ def by_profile(gt: DataFrame, pred: DataFrame, names: tuple[str, ...] = tuple(PR
     return out
 
 
-def diagnosis(gt: DataFrame, pred: DataFrame, doc_id: str, stage: str, max_lines: int = 300, max_paragraphs: int = 200) -> dict[str, DataFrame]:
-    """What is behind one document's score, as tables: score, tokens, paragraphs, repeated lines, first table's grid."""
+def diagnosis(gt: DataFrame, pred: DataFrame, doc_id: str, stage: str, max_lines: int = 300, max_paragraphs: int = 200, max_rows: int = 8) -> dict[str, DataFrame]:
+    """What is behind one document's score, as tables: score, tokens, paragraphs, repeated lines, first table's grid.
+
+    A workbook has ``rows`` instead of tokens and paragraphs: the first cleaned rows of both sides.
+    """
+    from ..functions.markup import merged
+    from ..functions.text import normalized
+    from ..operators.dups import repeated_lines
+
     one = (F.col("doc_id") == doc_id) & (F.col("stage") == stage)
     g, p = gt.where(one), pred.where(one)
-    align.register(gt.sparkSession)
     both = g.join(p, ["doc_id", "stage"]).withColumn("out", parsed(F.col("raw")))
-    texts = both.select("doc_id", F.col("text").alias("gt"), F.col("out.text").alias("pred"), "type")
+    texts = both.where("type <> 'xlsx'").select("doc_id", F.col("text").alias("gt"), F.col("out.text").alias("pred"), "type")
     relaxed = F.when(F.col("type") == "docx", align.relaxed_lines(F.col("pred"), F.col("gt"))["text"]).otherwise(F.col("pred"))
-    from ..functions.text import normalized
-
-    flat = texts.select("doc_id", normalized(relaxed).alias("p"), normalized(F.col("gt")).alias("g"))
-    token_rows = flat.lateralJoin(_lateral("token_alignment", "p", "g")).where("op <> 'match'").drop("p", "g")
-    lines = texts.lateralJoin(_lateral("line_diff", "pred", "gt")).select("doc_id", "seq", "tag", "gt_line", "pred_line")
+    token_rows = align.exploded(texts, ["doc_id"], align.token_rows(normalized(relaxed), normalized(F.col("gt")))).where("op <> 'match'")
+    lines = align.exploded(texts, ["doc_id"], align.line_rows(F.col("pred"), F.col("gt")))
     grid = tables.cell_grid(both.select("doc_id", F.get("tables", F.lit(0)).alias("g"), F.get("out.tables", F.lit(0)).alias("p")), ["doc_id"], "p", "g")
-    from ..operators.dups import repeated_lines
-
     dups = repeated_lines(both.select("doc_id", F.col("out.text").alias("text"), F.col("out.tables").alias("tables")), ["doc_id"])
-    return {"score": scores(g, p), "tokens": token_rows.orderBy("seq").limit(max_lines), "paragraphs": lines.orderBy("seq").limit(max_paragraphs), "repeated": dups, "grid": grid}
-
-
-def _lateral(name: str, *cols: str) -> DataFrame:
-    from ..operators import align as a
-
-    cls, schema = {"token_alignment": (a.TokenAlignment, "seq int, op string, gt_token string, pred_token string"), "line_diff": (a.LineDiff, "seq int, tag string, gt_line string, pred_line string"), "three_way": (a.ThreeWay, "seq int, gt string, before string, after string")}[name]
-    return F.udtf(cls, returnType=schema)(*(F.col(c).outer() for c in cols))
+    sheets = both.where("type = 'xlsx'").select("doc_id", F.explode(F.array(F.struct(F.lit("gt").alias("side"), merged(F.col("tables")).alias("m")), F.struct(F.lit("pred").alias("side"), merged(F.col("out.sheets")).alias("m")))).alias("x"))
+    sheets = sheets.select("doc_id", "x.side", F.posexplode("x.m").alias("row", "cells")).where(F.col("row") < max_rows)
+    return {"score": scores(g, p), "tokens": token_rows.orderBy("seq").limit(max_lines), "paragraphs": lines.orderBy("seq").limit(max_paragraphs), "repeated": dups, "grid": grid, "rows": sheets}
 
 
 def repeated(text: Column, tabs: Column) -> Column:

@@ -86,14 +86,14 @@ def parsed(raw: Column) -> Column:
 def scan(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """``gt(doc_id, stage, type, dual_gt, text, slides, tables)`` and ``pred(doc_id, stage, raw)`` of a flat folder.
 
-    Names are listed once; contents are read again by path, so that a file used by both stages is extracted once.
+    Office files are extracted where they are read, each once, and only their text and tables meet the list of names:
+    no file's bytes are shuffled. Outputs know their document and stage by their name.
     """
     files = spark.read.format("binaryFile").load(folder)
     u = units(bundles(files.select("path")))
-    office = files.where(F.lower(F.col("path")).rlike(r"\.(docx|pptx|xlsx)$"))
-    used = u.select(F.col("gt_file.path").alias("path"), F.col("gt_file.ext").alias("ext")).distinct()
-    read = office.select("path", "content").join(used, "path").select("path", extracted(F.col("content"), F.col("ext")).alias("x")).select("path", "x.*")
+    named = classified(files)
+    read = named.where(F.col("ext") != "txt").select("path", extracted(F.col("content"), F.col("ext")).alias("x")).select("path", "x.*")
     gt = u.select("doc_id", "stage", "type", "dual_gt", F.col("gt_file.path").alias("path")).join(read, "path", "left").drop("path")
-    raw = files.where(F.lower(F.col("path")).endswith(".txt")).select("path", F.decode("content", "UTF-8").alias("raw"))
-    pred = u.select("doc_id", "stage", F.col("pred_file.path").alias("path")).join(raw, "path").drop("path")
-    return gt, pred
+    raw = named.where(F.col("ext") == "txt").select("doc_id", F.col("role").alias("stage"), "name", F.decode("content", "UTF-8").alias("raw"))
+    pred = raw.groupBy("doc_id", "stage").agg(F.max_by("raw", "name").alias("raw"))  # of several files the last name wins
+    return gt, pred.join(u.select("doc_id", "stage"), ["doc_id", "stage"], "left_semi")

@@ -137,3 +137,19 @@ def test_summary_rules(spark):
     rows = [("a", 0.0, 0.5, None, None), ("b", 0.0, None, None, None)]
     got = evaluate.summary(spark.createDataFrame(rows, "doc_id string, wer_before double, wer_after double, teds_before double, teds_after double")).collect()
     assert len(got) == 1 and got[0]["improvement_pct"] is None and got[0]["absolute_change"] == 0.5
+
+
+def test_writers(spark, tmp_path, capsys):
+    """A mark and a header in each CSV file, nulls as nothing; a page per document; two tables on the console."""
+    df = spark.createDataFrame([("a", 0.5, None), ("b,c", None, 'q"x')], "doc_id string, wer double, note string").repartition(2)
+    sinks.write_csv(df, str(tmp_path / "csv"))
+    files = [f.read_bytes() for f in (tmp_path / "csv").glob("part-*.csv")]
+    assert files and all(f.startswith(b"\xef\xbb\xbfdoc_id,wer,note\n") for f in files)
+    assert sorted(line for f in files for line in f.decode("utf-8-sig").splitlines()[1:]) == ['"b,c",,"q\\"x"', "a,0.5,"]
+    sinks.write_csv(df, str(tmp_path / "plain"), bom=False)
+    assert all(f.read_bytes().startswith(b"doc_id,") for f in (tmp_path / "plain").glob("part-*.csv"))
+    sinks.write_html(spark.createDataFrame([("d1", "<p>one\ntwo</p>"), ("d2", "<p>x</p>")], "doc_id string, html string"), str(tmp_path / "pages"))
+    got = {p.name: "".join(f.read_text() for f in p.glob("part-*")) for p in (tmp_path / "pages").glob("doc_id=*")}
+    assert got == {"doc_id=d1": "<p>one\ntwo</p>\n", "doc_id=d2": "<p>x</p>\n"}
+    sinks.print_report(df, df.select("doc_id"))
+    assert "b,c" in capsys.readouterr().out
