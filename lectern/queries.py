@@ -10,12 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .functions import markup, text
 from .functions.text import Options, java, re2
 from .operators import align, dups, tables
 from .plans import evaluate
-from .sources import corpus
+from .sources import corpus, render
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -88,7 +89,7 @@ STEPS: dict[str, tuple[dict, Callable[[str], str]]] = {
     "list_bullet": ({"normalize_list_bullet": True}, lambda x: _g(_strike(_bold(x)), re2(text.BULLET), "- ")),
     "quotes_dashes": ({"unify_quotes_dashes": True}, lambda x: f"translate({_strike(_bold(x))}, {lit(text.CURLY)}, {lit(text.PLAIN)})"),
     "lower": ({"lower_latin": True}, lambda x: f"lower({_strike(_bold(x))})"),
-    "custom_subs": ({"custom_regex_subs": (("([0-9]) +([0-9])", "$1$2"),)}, lambda x: _g(_strike(_bold(x)), "([0-9]) +([0-9])", r"\1\2")),
+    "custom_subs": ({"custom_regex_subs": (("([0-9]) +([0-9])", r"\1\2"),)}, lambda x: _g(_strike(_bold(x)), "([0-9]) +([0-9])", r"\1\2")),
     "punctuation": ({"strip_punctuation": True}, lambda x: _g(_strike(_bold(x)), text.PUNCT, "")),
     "whitespace": ({"normalize_whitespace": True}, lambda x: _strip_sql(_g(_strike(_bold(x)), f"[{text.WS}]+", " "))),
 }
@@ -117,22 +118,33 @@ def _pipeline_sql(x: str, content_only: bool = False) -> str:
     return _strip_sql(_g(x, f"[{text.WS}]+", " "))
 
 
-@query("norm_profile_default", f"SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, {_pipeline_sql('t')} AS t FROM {MARKED_SQL})")
-def _default(s, d):
-    return _digest(marked(s, d), text.normalized(F.col("t"), Options(unify_unicode=False)))
+# the rendered wide and fixed spaces are the only characters of these texts that NFKC changes
+_NFKC_SQL = f"nfc_normalize(replace(replace(t, {lit(chr(0x3000))}, ' '), {lit(chr(0xA0))}, ' '))"
 
 
-@query("norm_profile_content_only", f"SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, {_pipeline_sql('t', True)} AS t FROM {MARKED_SQL})")
-def _content(s, d):
-    return _digest(marked(s, d), text.normalized(F.col("t"), Options(unify_unicode=False, strip_headers=True, strip_bold=True, strip_strike=True)))
+def _profile(name: str, content_only: bool) -> None:
+    """The profile as scores use it, over marked-up texts."""
+    options = text.PROFILES[name].options
+    sql = f"SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, {_pipeline_sql(_NFKC_SQL, content_only)} AS t FROM {MARKED_SQL})"
+    query(f"norm_profile_{name}", sql)(lambda s, d: _digest(marked(s, d), text.normalized(F.col("t"), options)))
 
 
-# the rendered wide and fixed spaces are the only characters of these texts that NFKC changes
-@query("norm_nfkc", f"SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, nfc_normalize(replace(replace(t, {lit(chr(0x3000))}, ' '), {lit(chr(0xA0))}, ' ')) AS t FROM {MARKED_SQL})")
+_profile("default", False)
+_profile("content_only", True)
+
+
+@query("norm_nfkc", f"SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, {_NFKC_SQL} AS t FROM {MARKED_SQL})")
 def _nfkc(s, d):
     return _digest(marked(s, d), text.nfkc(F.col("t")))
 
 
+# the output is the text with every seventh line feed doubled and small letters raised: only what normalisation evens out, and a word more
+@query("wer_marked", f"SELECT doc_id, 1::DOUBLE / n AS wer, 0 AS S, 0 AS D, 1 AS I, CAST(n AS INTEGER) AS N FROM (SELECT doc_id, len({_tokens_sql('t')}) AS n FROM (SELECT doc_id, {_pipeline_sql(_NFKC_SQL)} AS t FROM {MARKED_SQL}))".replace("AS S,", 'AS "S",').replace("AS D,", 'AS "D",').replace("AS I,", 'AS "I",').replace("AS N FROM", 'AS "N" FROM'))
+def _wer_marked(s, d):
+    """Marked-up texts scored under the default profile, against their own normal form and one more word."""
+    rows = marked(s, d).select("doc_id", "t", F.concat(text.normalized(F.col("t")), F.lit(" zzextra")).alias("p")).repartition("doc_id")
+    x = rows.select("doc_id", align.wer(F.col("p"), F.col("t")).alias("x"))
+    return x.select("doc_id", "x.wer", "x.S", "x.D", "x.I", "x.N")
 
 
 @query("tok_eojeol", f"SELECT doc_id, CAST(len(w) AS INTEGER) AS n_tokens, w[1] AS first_token, w[-1] AS last_token FROM (SELECT doc_id, {_tokens_sql('text')} AS w FROM documents)")
@@ -199,38 +211,68 @@ def _saturated(s, d):
     return _wer(dropped)(s, d).select("conv_id", "turn", text.saturated(F.col("wer")).alias("wer_norm"))
 
 
-@query("token_alignment", f"SELECT conv_id, turn, CASE WHEN i % 5 = 2 THEN 'sub' ELSE 'match' END AS op, count(*) AS n FROM (SELECT conv_id, turn, unnest(range(len(w))) AS i FROM {_TURNS_SQL}) GROUP BY ALL")
+@query("token_alignment", f"SELECT conv_id, turn, CAST(i AS INTEGER) AS seq, CASE WHEN i % 5 = 2 THEN 'sub' ELSE 'match' END AS op, w[i + 1] AS gt_token, CASE WHEN i % 5 = 2 THEN 'zzq' || i ELSE w[i + 1] END AS pred_token FROM (SELECT conv_id, turn, w, unnest(range(len(w))) AS i FROM {_TURNS_SQL})")
 def _alignment(s, d):
-    rows = turns(s, d, renamed).select("conv_id", "turn", F.array_join("v", " ").alias("v"), F.array_join("w", " ").alias("w"))
-    return rows.lateralJoin(evaluate._lateral("token_alignment", "v", "w")).groupBy("conv_id", "turn", "op").agg(F.count(F.lit(1)).alias("n"))
+    rows = turns(s, d, renamed).select("conv_id", "turn", F.array_join("v", " ").alias("v"), F.array_join("w", " ").alias("w")).repartition("conv_id", "turn")
+    return align.exploded(rows, ["conv_id", "turn"], align.token_rows(F.col("v"), F.col("w")))
 
 
-def _region_lines(s, d) -> DataFrame:
-    n = table(s, d, "nation").select("n_regionkey", F.struct("n_nationkey", F.concat_ws(" ", F.lit("nation"), F.col("n_nationkey").cast("string"), "n_name").alias("line")).alias("x"), "n_nationkey")
-    lines = lambda keep: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(keep, F.col("x")))), lambda r: r["line"]), "\n")
-    odd, third = F.col("n_nationkey") % 2 == 1, F.col("n_nationkey") % 3 != 0
-    return n.groupBy("n_regionkey").agg(lines(F.lit(True)).alias("gt"), lines(odd).alias("odd"), lines(third).alias("third"))
+# a conversation's turns as lines, each one of its own; parsers drop some, change some, and add some
 
+_LINES_SQL = "(SELECT conv_id, turn, turn || ': ' || replace(text, chr(10), ' ') AS line FROM conversations)"
 
-@query("line_diff", "SELECT n_regionkey, 'nation ' || n_nationkey || ' ' || n_name AS gt_line, CASE WHEN n_nationkey % 2 = 1 THEN 'equal' ELSE 'delete' END AS tag, CASE WHEN n_nationkey % 2 = 1 THEN 'nation ' || n_nationkey || ' ' || n_name END AS pred_line FROM nation")
+
+def _text_lines(s, d) -> DataFrame:
+    """Per conversation: ``gt``, and the outputs of two parsers, ``one`` and ``two``."""
+    turn, line = F.col("turn"), F.concat(F.col("turn").cast("string"), F.lit(": "), F.replace("text", F.lit("\n"), F.lit(" ")))
+    named = lambda word: F.concat(F.lit(word), turn.cast("string"))
+    none = F.expr("cast(array() as array<string>)")
+    one = F.when(turn % 6 == 1, none).when(turn % 6 == 3, F.array(named("changed "))).when(turn % 6 == 5, F.array(line, named("extra "))).otherwise(F.array(line))
+    two = F.when(turn % 4 == 1, none).when(turn % 4 == 3, F.array(line, named("later "))).otherwise(F.array(line))
+    rows = table(s, d, "conversations").select("conv_id", F.struct("turn", F.array(line).alias("gt"), one.alias("one"), two.alias("two")).alias("x"))
+    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    text_of = lambda c: F.array_join(F.flatten(F.transform("x", lambda r: r[c])), "\n").alias(c)
+    return rows.select("conv_id", *map(text_of, ("gt", "one", "two")))
+
+
+@query("line_diff", f"""SELECT conv_id, CASE turn % 6 WHEN 1 THEN 'delete' WHEN 3 THEN 'replace' ELSE 'equal' END AS tag, line AS gt_line, CASE turn % 6 WHEN 1 THEN NULL WHEN 3 THEN 'changed ' || turn ELSE line END AS pred_line FROM {_LINES_SQL}
+UNION ALL SELECT conv_id, 'insert', NULL, 'extra ' || turn FROM conversations WHERE turn % 6 = 5""")
 def _line_diff(s, d):
-    return _region_lines(s, d).lateralJoin(evaluate._lateral("line_diff", "odd", "gt")).select("n_regionkey", "gt_line", "tag", "pred_line")
+    return align.exploded(_text_lines(s, d), ["conv_id"], align.line_rows(F.col("one"), F.col("gt"))).drop("seq")
 
 
-@query("three_way", "SELECT n_regionkey, line AS gt, CASE WHEN n_nationkey % 2 = 1 THEN line END AS before, CASE WHEN n_nationkey % 3 <> 0 THEN line END AS after FROM (SELECT *, 'nation ' || n_nationkey || ' ' || n_name AS line FROM nation)")
+@query("three_way", f"""SELECT conv_id, line AS gt, CASE turn % 6 WHEN 1 THEN NULL WHEN 3 THEN 'changed ' || turn ELSE line END AS before, CASE WHEN turn % 4 <> 1 THEN line END AS after FROM {_LINES_SQL}
+UNION ALL SELECT conv_id, NULL, 'extra ' || turn, NULL FROM conversations WHERE turn % 6 = 5
+UNION ALL SELECT conv_id, NULL, NULL, 'later ' || turn FROM conversations WHERE turn % 4 = 3""")
 def _three_way(s, d):
-    rows = _region_lines(s, d).withColumnRenamed("gt", "own")
-    return rows.lateralJoin(evaluate._lateral("three_way", "own", "odd", "third")).select("n_regionkey", "gt", "before", "after")
+    return align.exploded(_text_lines(s, d), ["conv_id"], align.three_way_rows(F.col("gt"), F.col("one"), F.col("two"))).drop("seq")
+
 
+@query("three_way_anchors", """SELECT conv_id, count(*) AS n_extra, sum(turn + 1) AS anchors FROM conversations WHERE turn % 6 = 5 GROUP BY conv_id""")
+def _anchors(s, d):
+    """Lines that the ground truth lacks stand right after the line that they followed."""
+    rows = align.exploded(_text_lines(s, d), ["conv_id"], align.three_way_rows(F.col("gt"), F.col("one"), F.col("gt"))).where("gt is null or before is not null")
+    before = F.collect_list("gt").over(W.partitionBy("conv_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+    extra = rows.withColumn("above", F.try_element_at(before, F.lit(-1))).where("gt is null")
+    return extra.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_extra"), F.sum(F.regexp_extract("above", r"^(\d+):", 1).cast("long") + 1).alias("anchors"))
 
-@query("relax_lines", "SELECT n_regionkey, string_agg('nation ' || n_nationkey || ' ' || n_name, chr(10) ORDER BY n_nationkey) AS text, count(*) FILTER (WHERE n_nationkey % 3 = 0) AS n_merged FROM nation GROUP BY 1")
+
+_RELAX_SQL = f"""WITH t AS (SELECT conv_id, turn, list_concat(['t' || turn], list_slice({_tokens_sql('text')}, 1, 6)) AS w, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS following FROM conversations)
+SELECT conv_id, string_agg(array_to_string(w, ' '), chr(10) ORDER BY turn) AS text, count(*) FILTER (WHERE turn % 6 = 0 AND len(w) > 2) AS n_merged, count(*) FILTER (WHERE turn % 6 = 3 AND following IS NOT NULL) AS n_split FROM t GROUP BY conv_id"""
+
+
+@query("relax_lines", _RELAX_SQL)
 def _relax(s, d):
-    n = table(s, d, "nation").select("n_regionkey", "n_nationkey", F.concat_ws(" ", F.lit("nation"), F.col("n_nationkey").cast("string"), "n_name").alias("line"))
-    cut = n.withColumn("cut", F.when(F.col("n_nationkey") % 3 == 0, F.regexp_replace("line", " NATION", "\nNATION")).otherwise(F.col("line")))
-    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", c))), lambda r: r[c]), "\n")
-    both = cut.groupBy("n_regionkey").agg(joined("line").alias("gt"), joined("cut").alias("pred"))
-    r = both.select("n_regionkey", align.relaxed_lines(F.col("pred"), F.col("gt")).alias("r"))
-    return r.select("n_regionkey", "r.text", F.size("r.log").cast("long").alias("n_merged"))
+    """Lines broken in two, and lines run together with the next one, are put back."""
+    w = F.concat(F.array(F.concat(F.lit("t"), F.col("turn").cast("string"))), F.slice(text.tokens(F.col("text")), 1, 6))
+    rows = table(s, d, "conversations").select("conv_id", "turn", w.alias("w")).withColumn("line", F.array_join("w", " "))
+    end = F.when((F.col("turn") % 6 == 3), " ").otherwise("\n")
+    cut = F.when((F.col("turn") % 6 == 0) & (F.size("w") > 2), F.concat(F.array_join(F.slice("w", 1, 2), " "), F.lit("\n"), F.expr("array_join(slice(w, 3, size(w)), ' ')"))).otherwise(F.col("line"))
+    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "line", F.concat(cut, end).alias("cut")))).alias("x"))
+    pred = F.rtrim(F.array_join(F.transform("x", lambda r: r["cut"]), ""), F.lit(" \n"))
+    r = rows.select("conv_id", align.relaxed_lines(pred, F.array_join(F.transform("x", lambda r: r["line"]), "\n")).alias("r"))
+    kinds = lambda k: F.size(F.filter("r.log", lambda x: x["kind"] == k)).cast("long")
+    return r.select("conv_id", "r.text", kinds("merge").alias("n_merged"), kinds("split").alias("n_split"))
 
 
 # decks: turns are slides; every third turn is missing from the parser's text
@@ -239,9 +281,13 @@ _SLIDE_SQL = f"SELECT conv_id, turn, len({_tokens_sql('text')}) AS n FROM conver
 
 
 def _decks(s, d) -> DataFrame:
+    """``slides``; ``kept``, without every third one; ``mixed``, that with sections of their own after every sixth."""
     rows = table(s, d, "conversations").select("conv_id", "turn", F.concat(F.lit("## slide "), F.col("turn").cast("string"), F.lit("\n"), F.array_join(F.transform(text.tokens(F.col("text")), lambda t: F.concat(t, F.col("turn").cast("string"))), " ")).alias("s"))
-    parts = lambda keep: F.transform(F.sort_array(F.collect_list(F.when(keep, F.struct("turn", "s")))), lambda r: r["s"])
-    return rows.groupBy("conv_id").agg(parts(F.lit(True)).alias("slides"), parts(F.col("turn") % 3 != 1).alias("kept"))
+    rows = rows.withColumn("more", F.when(F.col("turn") % 6 == 5, F.concat(F.lit("## other "), F.col("turn").cast("string"), F.lit("\nzzone zztwo"))))
+    parts = lambda c, keep: F.transform(F.sort_array(F.collect_list(F.when(keep, F.struct("turn", c)))), lambda r: r[c])
+    kept = F.col("turn") % 3 != 1
+    both = rows.withColumn("both", F.concat_ws("\n", "s", "more"))
+    return both.groupBy("conv_id").agg(parts("s", F.lit(True)).alias("slides"), parts("s", kept).alias("kept"), parts("both", kept).alias("mixed"))
 
 
 @query("section_split", "SELECT conv_id, count(*) AS n_sections, sum(turn) AS turns FROM conversations GROUP BY conv_id")
@@ -250,12 +296,19 @@ def _sections(s, d):
     return found.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum(F.regexp_extract("x", r"^## slide (\d+)", 1).cast("long")).alias("turns"))
 
 
-@query("slide_align", f"SELECT conv_id, CASE WHEN turn % 3 = 1 THEN 'gt_only' ELSE 'match' END AS kind, count(*) AS n_slides, CAST(sum(CASE WHEN turn % 3 = 1 THEN n + 3 ELSE 0 END) AS BIGINT) AS edits FROM ({_SLIDE_SQL}) WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) FILTER (WHERE turn % 3 <> 1) > 1) GROUP BY ALL")
+_ALIGNED_SQL = "SELECT conv_id, count(*) FILTER (WHERE turn % 3 <> 1) + count(*) FILTER (WHERE turn % 6 = 5) > 1 AS aligned FROM conversations GROUP BY 1"
+
+
+# a parser's text of one section or none is compared as a whole: no slide is paired
+@query("slide_align", f"""WITH a AS ({_ALIGNED_SQL}), x AS (SELECT conv_id, turn, n, aligned FROM ({_SLIDE_SQL}) JOIN a USING (conv_id))
+SELECT conv_id, CASE WHEN turn % 3 = 1 THEN 'gt_only' ELSE 'match' END AS kind, count(*) AS n_slides, CAST(sum(CASE WHEN turn % 3 = 1 THEN n + 3 ELSE 0 END) AS BIGINT) AS edits FROM x WHERE aligned GROUP BY ALL
+UNION ALL SELECT conv_id, 'pred_only', count(*), CAST(5 * count(*) AS BIGINT) FROM x WHERE aligned AND turn % 6 = 5 GROUP BY 1
+UNION ALL SELECT conv_id, 'whole', 0, NULL FROM a WHERE NOT aligned""")
 def _slides(s, d):
     options = Options(**(_OFF | {"normalize_whitespace": True}))
-    rows = _decks(s, d).where("size(kept) > 1").repartition("conv_id")
-    x = rows.select("conv_id", F.explode(align.slide_wer(F.col("slides"), F.concat_ws("\n", "kept"), options=options)["pairs"]).alias("x"))
-    return x.groupBy("conv_id", "x.kind").agg(F.count(F.lit(1)).alias("n_slides"), F.sum(F.expr("x.S + x.D + x.I")).cast("long").alias("edits"))
+    rows = _decks(s, d).repartition("conv_id")
+    x = rows.select("conv_id", F.explode_outer(align.slide_wer(F.col("slides"), F.concat_ws("\n", "mixed"), options=options)["pairs"]).alias("x"))
+    return x.groupBy("conv_id", F.coalesce("x.kind", F.lit("whole")).alias("kind")).agg(F.count("x.kind").alias("n_slides"), F.sum(F.expr("x.S + x.D + x.I")).cast("long").alias("edits"))
 
 
 # tables rendered from orders
@@ -371,9 +424,32 @@ def _teds_mean(s, d):
 
 
 
-@query("cell_grid", f"SELECT o_custkey, CAST(i AS INTEGER) AS row, k AS col, CASE k WHEN 0 THEN o_orderkey::VARCHAR WHEN 1 THEN o_orderstatus ELSE o_orderpriority END AS gt_cell, CASE k WHEN 0 THEN o_orderkey::VARCHAR WHEN 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END ELSE o_orderpriority END AS pred_cell, CASE WHEN k = 1 AND o_orderkey % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS similarity, CASE WHEN k = 1 AND o_orderkey % 3 = 0 THEN 'mismatch' ELSE 'match' END AS class FROM {_ORDERS_SQL} CROSS JOIN (VALUES (0), (1), (2)) v(k)")
+# a cell is cut to four characters, gets two more, or is blank; even customers have a row more, others a column more
+_GRID_SQL = f"""WITH o AS (SELECT o_custkey, CAST(i AS INTEGER) AS row, o_orderkey, o_orderstatus, o_orderpriority AS p, len(o_orderpriority) AS n FROM {_ORDERS_SQL}),
+c AS (
+  SELECT o_custkey, row, 0 AS col, o_orderkey::VARCHAR AS gt_cell, o_orderkey::VARCHAR AS pred_cell, 1.0::DOUBLE AS raw FROM o
+  UNION ALL SELECT o_custkey, row, 1, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE 1.0 END FROM o
+  UNION ALL SELECT o_custkey, row, 2, p, CASE o_orderkey % 5 WHEN 1 THEN left(p, 4) WHEN 2 THEN p || '##' ELSE p END, CASE o_orderkey % 5 WHEN 1 THEN 8::DOUBLE / (n + 4) WHEN 2 THEN (2 * n)::DOUBLE / (2 * n + 2) ELSE 1.0 END FROM o
+  UNION ALL SELECT o_custkey, row, 3, NULL, 'col', 0.0 FROM o WHERE o_custkey % 2 = 1
+  UNION ALL SELECT o_custkey, CAST(count(*) AS INTEGER), 0, NULL, 'row', 0.0 FROM o WHERE o_custkey % 2 = 0 GROUP BY 1
+  UNION ALL SELECT o_custkey, row, 3, 'lost', NULL, 0.0 FROM o WHERE o_custkey % 2 = 0 AND o_orderkey % 4 = 0
+)
+SELECT o_custkey, row, col, gt_cell, pred_cell, round_even(raw, 3) AS similarity, CASE WHEN gt_cell IS NULL THEN 'extra' WHEN pred_cell IS NULL THEN 'missing' WHEN raw >= 0.999 THEN 'match' WHEN raw >= 0.6 THEN 'partial' ELSE 'mismatch' END AS class FROM c"""
+
+
+@query("cell_grid", _GRID_SQL)
 def _grid(s, d):
-    return tables.cell_grid(order_tables(s, d).select("o_custkey", F.col("m").alias("g"), _blanked("m", 3).alias("p")), ["o_custkey"], "p", "g")
+    key, odd = (lambda r: F.get(r, F.lit(0)).cast("long")), F.col("o_custkey") % 2 == 1
+
+    def noisy(r):
+        k, p = key(r), F.get(r, F.lit(2))
+        cells = F.array(F.get(r, F.lit(0)), F.when(k % 3 == 0, "").otherwise(F.get(r, F.lit(1))), F.when(k % 5 == 1, F.left(p, F.lit(4))).when(k % 5 == 2, F.concat(p, F.lit("##"))).otherwise(p))
+        return F.when(odd, F.concat(cells, F.array(F.lit("col")))).otherwise(cells)
+
+    p = F.transform("m", noisy)
+    p = F.when(odd, p).otherwise(F.concat(p, F.array(F.array(F.lit("row")))))
+    g = F.transform("m", lambda r: F.when(~odd & (key(r) % 4 == 0), F.concat(r, F.array(F.lit("lost")))).otherwise(r))
+    return tables.cell_grid(order_tables(s, d).select("o_custkey", g.alias("g"), p.alias("p")), ["o_custkey"], "p", "g")
 
 
 @query("table_dup", "SELECT o_custkey, count(*) AS n_lines FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1")
@@ -381,7 +457,7 @@ def _dups(s, d):
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
     body = F.when(F.col("o_custkey") % 2 == 0, F.array_join(F.transform("m", line), "\n")).otherwise(F.lit("nothing of the table"))
     rows = order_tables(s, d).select("o_custkey", F.concat(F.lit("Some words first\n"), body, F.lit("\nlast words here")).alias("text"), F.array("m").alias("tables"))
-    found = dups.repeated_lines(rows, ["o_custkey"], options=Options(unify_unicode=False))
+    found = dups.repeated_lines(rows, ["o_custkey"])
     return found.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
@@ -440,24 +516,152 @@ def _summary(s, d):
     return evaluate.summary(evaluate.per_document(evaluate.scores(*evaluation_inputs(s, d))))
 
 
-@query("by_profile")
+_NO_MORPHEMES = "the morpheme tokenizer needs kiwipiepy, which is not installed"
+
+
+@query("by_profile", f"""SELECT doc_id, stage, profile, tokenizer, CASE WHEN tokenizer = 'morpheme' THEN NULL WHEN stage = 'after' OR n = 0 THEN 0.0::DOUBLE ELSE k::DOUBLE / n END AS wer, CASE WHEN tokenizer = 'morpheme' THEN {lit(_NO_MORPHEMES)} END AS skipped
+FROM {_EVAL_SQL} CROSS JOIN (VALUES ('before'), ('after')) s(stage) CROSS JOIN (VALUES ('default', 'eojeol'), ('spacing_robust', 'morpheme'), ('content_only', 'eojeol')) p(profile, tokenizer)""")
 def _by_profile(s, d):
     return evaluate.by_profile(*evaluation_inputs(s, d))
 
 
-@query("html_reports")
+# decks and workbooks through the same scores as documents
+
+def kinds_inputs(s, d) -> tuple[DataFrame, DataFrame]:
+    """Conversations as decks that lack every third slide in the first output, customers as workbooks that lack every fourth row there."""
+    no = F.expr("cast(array() as array<array<array<string>>>)")
+    base = lambda df, kind, body, slides, tabs: df.select(F.concat(F.lit(kind), F.col(df.columns[0]).cast("string")).alias("doc_id"), F.explode(F.array(F.lit("before"), F.lit("after"))).alias("stage"), F.lit(kind).alias("type"), F.lit(True).alias("dual_gt"), body.alias("text"), slides.alias("slides"), tabs.alias("tables"))
+    decks, books = _decks(s, d), order_tables(s, d)
+    sheet = lambda m: F.concat(F.lit("## sheet\n\n"), F.array_join(F.transform(m, lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))), "\n"))
+    gt = base(decks, "pptx", F.concat_ws("\n", "slides"), F.col("slides"), no).union(base(books, "xlsx", F.lit("## sheet"), F.expr("cast(null as array<string>)"), F.array("m")))
+    out = lambda df, kind, stage, raw: df.select(F.concat(F.lit(kind), F.col(df.columns[0]).cast("string")).alias("doc_id"), F.lit(stage).alias("stage"), raw.alias("raw"))
+    pred = out(decks, "pptx", "before", F.concat_ws("\n", "kept")).union(out(decks, "pptx", "after", F.concat_ws("\n", "slides")))
+    return gt, pred.union(out(books, "xlsx", "before", sheet(_without("m", 4)))).union(out(books, "xlsx", "after", sheet(F.col("m"))))
+
+
+_KINDS_SQL = f"""SELECT 'pptx' || conv_id AS doc_id, 'pptx' AS type, true AS dual_gt, sum(CASE WHEN turn % 3 = 1 THEN n + 3 ELSE 0 END)::DOUBLE / sum(n + 3) AS wer_before, NULL::DOUBLE AS teds_before, 0.0::DOUBLE AS wer_after, NULL::DOUBLE AS teds_after FROM ({_SLIDE_SQL}) GROUP BY conv_id
+UNION ALL SELECT 'xlsx' || o_custkey, 'xlsx', true, 0.0, 1.0::DOUBLE - (4.0 * count(*) FILTER (WHERE o_orderkey % 4 = 0))::DOUBLE / (1 + 4 * count(*)), 0.0, 1.0 FROM orders GROUP BY o_custkey"""
+
+
+@query("per_document_kinds", _KINDS_SQL)
+def _kinds(s, d):
+    return evaluate.per_document(evaluate.scores(*kinds_inputs(s, d)))
+
+
+@query("summary_kinds", f"""WITH x AS ({_KINDS_SQL}), m AS (SELECT avg(wer_before) AS w, avg(teds_before) AS t FROM x)
+SELECT 'wer' AS metric, round_even(w, 4) AS before_mean, 0.0::DOUBLE AS after_mean, round_even(-w, 4) AS absolute_change, 100.0::DOUBLE AS improvement_pct, '감소(개선)' AS direction FROM m
+UNION ALL SELECT 'teds_content', round_even(t, 4), 1.0, round_even(1 - t, 4), round_even((1 - t) / t * 100, 2), '증가(개선)' FROM m""")
+def _summary_kinds(s, d):
+    return evaluate.summary(evaluate.per_document(evaluate.scores(*kinds_inputs(s, d))))
+
+
+@query("slide_units", f"""WITH a AS (SELECT conv_id, count(*) FILTER (WHERE turn % 3 <> 1) > 1 AS aligned FROM conversations GROUP BY 1),
+x AS (SELECT conv_id, turn, CAST(n + 3 AS INTEGER) AS n, aligned, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS i, CAST(sum(CASE WHEN turn % 3 <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS j, turn % 3 = 1 AS gone FROM ({_SLIDE_SQL}) JOIN a USING (conv_id))
+SELECT 'pptx' || conv_id AS doc_id, 'before' AS stage, true AS aligned, i AS seq, i AS gt_idx, CASE WHEN NOT gone THEN j END AS pred_idx, CASE WHEN gone THEN 1.0 ELSE 0.0 END::DOUBLE AS wer, 0 AS "S", CASE WHEN gone THEN n ELSE 0 END AS "D", 0 AS "I", n AS "N", CASE WHEN gone THEN 'gt_only' ELSE 'match' END AS kind FROM x WHERE aligned
+UNION ALL SELECT 'pptx' || conv_id, 'before', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM a WHERE NOT aligned""")
+def _slide_units(s, d):
+    gt, pred = kinds_inputs(s, d)
+    return evaluate.slide_units(gt.where("stage = 'before'"), pred)
+
+
+# pages: a heading, a line of words that are all different, a table; the first output drops words and repeats the table's rows as lines
+
+def page_inputs(s, d) -> tuple[DataFrame, DataFrame]:
+    w = F.transform(text.tokens(F.regexp_replace(F.lower("text"), r"[^\p{L} \n]", "")), lambda t, i: F.concat(t, F.lit("_"), i.cast("string")))
+    rows = table(s, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), F.col("turn").cast("string").alias("t"), w.alias("w"))
+    line = lambda c: F.concat(F.lit("## Heading\n"), F.array_join(c, " "))
+    m = F.array(F.array(F.array(F.lit("turn"), F.lit("no")), F.array(F.lit("x"), F.col("t"))))
+    pipe = lambda last: F.concat(F.lit("\n| turn | no |\n| x | "), last, F.lit(" |"))
+    gt = rows.select("doc_id", F.explode(F.array(F.lit("before"), F.lit("after"))).alias("stage"), F.lit("docx").alias("type"), F.lit(False).alias("dual_gt"), line(F.col("w")).alias("text"), F.expr("cast(null as array<string>)").alias("slides"), m.alias("tables"))
+    before = F.concat(line(dropped(F.col("w"))), F.lit("\nturn no\nx "), F.col("t"), pipe(F.col("t")))
+    return gt, rows.select("doc_id", F.lit("before").alias("stage"), before.alias("raw")).union(rows.select("doc_id", F.lit("after").alias("stage"), F.concat(line(F.col("w")), pipe(F.lit("y"))).alias("raw")))
+
+
+@query("html_reports", f"""SELECT doc_id, k AS n_gone, 0 AS n_new, 0 AS n_sub, 2 AS n_dup, 4 AS n_none, 1 AS n_divider, 7 AS n_match, 0 AS n_partial, 1 AS n_mismatch, 0 AS n_missing, 0 AS n_extra, 12 AS n_rows, 2 AS n_items,
+format('wer_before: {{:.4f}}', (k + CASE WHEN n % 7 = 4 THEN 3 ELSE 4 END)::DOUBLE / (n + 2)) AS card FROM (SELECT doc_id, n, CAST(k AS INTEGER) AS k FROM {_EVAL_SQL})""")
 def _reports(s, d):
+    """What the pages show, counted by class."""
     from .plans import report
 
-    gt, pred = evaluation_inputs(s, d)
-    return report.pages(gt, pred, evaluate.per_document(evaluate.scores(gt, pred)))
+    gt, pred = page_inputs(s, d)
+    pages = report.pages(gt, pred, evaluate.per_document(evaluate.scores(gt, pred)))
+    n = lambda piece: F.regexp_count("html", F.lit(piece)).cast("int")
+    by_class = [n(f'class="{c}"').alias(f"n_{c}") for c in ("gone", "new", "sub", "dup", "none", "divider", "match", "partial", "mismatch", "missing", "extra")]
+    return pages.select("doc_id", *by_class, n("<tr").alias("n_rows"), n("<li>").alias("n_items"), F.regexp_extract("html", "(wer_before: [0-9.]+)", 1).alias("card"))
 
 
-@query("slide_units")
-def _slide_units(s, d):
-    decks = _decks(s, d).withColumn("doc_id", F.col("conv_id").cast("string"))
-    gt = decks.select("doc_id", F.lit("before").alias("stage"), F.lit("pptx").alias("type"), F.lit(False).alias("dual_gt"), F.concat_ws("\n", "slides").alias("text"), "slides", F.expr("cast(array() as array<array<array<string>>>)").alias("tables"))
-    return evaluate.slide_units(gt, decks.select("doc_id", F.lit("before").alias("stage"), F.concat_ws("\n", "kept").alias("raw")))
+# office files made of nations, and what the readers give back
+
+_NATION_TEXT_SQL = "'# ' || n_name || chr(10) || '**Region** ' || n_regionkey || ' of **' || n_name || '**' || chr(10) || '- item ' || n_nationkey || chr(10) || '~~gone~~ kept <&>' || chr(10) || '[텍스트박스] box ' || n_nationkey || chr(10) || '[메모] note'"
+
+
+@query("read_docx", f"SELECT n_nationkey, {_NATION_TEXT_SQL} AS text, n_name AS c0, n_regionkey::VARCHAR AS c1 FROM nation")
+def _read_docx(s, d):
+    body = F.expr(_NATION_TEXT_SQL.replace("chr(10)", "'\n'"))
+    m = F.array(F.array(F.array("n_name", F.lit("null")), F.array(F.lit(""), F.col("n_regionkey").cast("string"))))
+    files = table(s, d, "nation").select("n_nationkey", render.rendered(F.lit("docx"), body, F.expr("cast(null as array<string>)"), m).alias("f"))
+    x = files.select("n_nationkey", corpus.extracted(F.col("f"), F.lit("docx")).alias("x"))
+    cell = lambda r, c: F.get(F.get(F.get("x.tables", F.lit(0)), F.lit(r)), F.lit(c))
+    blank = (cell(0, 1) == "") & (cell(1, 0) == "")
+    return x.select("n_nationkey", "x.text", F.when(blank, cell(0, 0)).alias("c0"), cell(1, 1).alias("c1"))
+
+
+@query("read_pptx", "SELECT n_regionkey, CAST(count(*) AS INTEGER) AS n_slides, string_agg('## ' || n_name || chr(10) || 'about **' || n_name || '**' || chr(10) || '- key ' || n_nationkey, chr(10) ORDER BY n_nationkey) AS text, CAST(count(*) AS INTEGER) AS n_rows, max(n_name) AS largest FROM nation GROUP BY 1")
+def _read_pptx(s, d):
+    slide = F.concat(F.lit("## "), "n_name", F.lit("\nabout **"), "n_name", F.lit("**\n- key "), F.col("n_nationkey").cast("string"))
+    rows = table(s, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", slide.alias("s"), F.array("n_name", F.lit("x")).alias("r")))).alias("x"))
+    slides, m = F.transform("x", lambda r: r["s"]), F.array(F.transform("x", lambda r: r["r"]))
+    x = rows.select("n_regionkey", corpus.extracted(render.rendered(F.lit("pptx"), F.lit(""), slides, m), F.lit("pptx")).alias("x"))
+    t = F.get("x.tables", F.lit(0))
+    return x.select("n_regionkey", F.size("x.slides").alias("n_slides"), "x.text", F.size(t).alias("n_rows"), F.array_max(F.transform(t, lambda r: F.get(r, F.lit(0)))).alias("largest"))
+
+
+@query("read_xlsx", "SELECT n_regionkey, '## sheet ' || n_regionkey || chr(10) || chr(10) || '## second' AS text, CAST(i - 1 AS INTEGER) AS i, n_nationkey::VARCHAR AS c0, n_name AS c1 FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation)")
+def _read_xlsx(s, d):
+    rows = table(s, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), F.lit(""), "n_name").alias("r")))).alias("x"))
+    body = F.concat(F.lit("## sheet "), F.col("n_regionkey").cast("string"), F.lit("\n\n## second"))
+    m = F.array(F.transform("x", lambda r: r["r"]), F.array(F.array(F.lit("one"))))
+    x = rows.select("n_regionkey", corpus.extracted(render.rendered(F.lit("xlsx"), body, F.expr("cast(null as array<string>)"), m), F.lit("xlsx")).alias("x"))
+    x = x.select("n_regionkey", "x.text", F.posexplode(markup.cleaned(F.get("x.tables", F.lit(0)))).alias("i", "r"))
+    return x.select("n_regionkey", "text", "i", F.get("r", F.lit(0)).alias("c0"), F.get("r", F.lit(1)).alias("c1"))
+
+
+# what is behind one score
+
+def _first_turn(s, d, part: str) -> DataFrame:
+    return evaluate.diagnosis(*evaluation_inputs(s, d), "0-0", "before")[part]
+
+
+_FIRST_SQL = f"(SELECT w, unnest(range(len(w))) AS i FROM (SELECT {_tokens_sql('regexp_replace(lower(text), ' + lit('[^\\p{L} ' + chr(10) + ']') + ', ' + lit('') + ', ' + lit('g') + ')')} AS w FROM conversations WHERE conv_id = 0 AND turn = 0))"
+
+
+@query("diagnose_tokens", f"SELECT '0-0' AS doc_id, CAST(i AS INTEGER) AS seq, 'del' AS op, w[i + 1] AS gt_token, NULL::VARCHAR AS pred_token FROM {_FIRST_SQL} WHERE i % 7 = 3 ORDER BY i LIMIT 300")
+def _diagnose_tokens(s, d):
+    return _first_turn(s, d, "tokens")
+
+
+@query("diagnose_grid", "SELECT '0-0' AS doc_id, row, col, gt_cell, CASE WHEN row = 0 THEN gt_cell END AS pred_cell, CASE WHEN row = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS similarity, CASE WHEN row = 0 THEN 'match' ELSE 'missing' END AS class FROM (VALUES (0, 0, 'turn'), (0, 1, 'no'), (1, 0, 'x'), (1, 1, '0')) v(row, col, gt_cell)")
+def _diagnose_grid(s, d):
+    return _first_turn(s, d, "grid")
+
+
+@query("diagnose_score", f"SELECT doc_id, 'before' AS stage, 'docx' AS type, false AS dual_gt, k::DOUBLE / n AS wer, 1.0::DOUBLE - 3.0::DOUBLE / 7 AS teds FROM {_EVAL_SQL} WHERE doc_id = '0-0'")
+def _diagnose_score(s, d):
+    return _first_turn(s, d, "score")
+
+
+@query("diagnose_paragraphs", f"SELECT '0-0' AS doc_id, 0 AS seq, 'replace' AS tag, array_to_string(list(w[i + 1] ORDER BY i), ' ') AS gt_line, array_to_string(list(w[i + 1] ORDER BY i) FILTER (WHERE i % 7 <> 3), ' ') AS pred_line FROM {_FIRST_SQL}")
+def _diagnose_paragraphs(s, d):
+    return _first_turn(s, d, "paragraphs")
+
+
+# a workbook's first eight rows, cleaned, of the customer with the smallest key
+@query("diagnose_rows", f"""WITH o AS (SELECT * FROM {_ORDERS_SQL} WHERE o_custkey = (SELECT min(o_custkey) FROM orders)), g AS (SELECT 'gt' AS side, * FROM o UNION ALL SELECT 'pred', * FROM o WHERE o_orderkey % 4 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY o_orderkey) - 1 AS row FROM g)
+SELECT 'xlsx' || o_custkey AS doc_id, side, CAST(row AS INTEGER) AS row, o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority AS cells FROM r WHERE row < 8""")
+def _diagnose_rows(s, d):
+    first = table(s, d, "orders").agg(F.min("o_custkey")).first()[0]
+    return evaluate.diagnosis(*kinds_inputs(s, d), f"xlsx{first}", "before")["rows"].withColumn("cells", F.array_join("cells", "|"))
 
 
 @query("sheet_units", "SELECT o_custkey::VARCHAR AS doc_id, 'before' AS stage, 0 AS unit, 1.0::DOUBLE - (4.0 * count(*) FILTER (WHERE o_orderkey % 4 = 0))::DOUBLE / (1 + 4 * count(*)) AS teds, CAST(count(*) AS INTEGER) AS n_gt_rows, CAST(count(*) FILTER (WHERE o_orderkey % 4 <> 0) AS INTEGER) AS n_pred_rows FROM orders GROUP BY 1")
