@@ -3,7 +3,9 @@
 Per label, ``TREES`` trees split unit vectors at the median of a random projection. Both children keep the
 vectors within ``SPILL`` of the split, so close pairs are seldom parted; a pair counts as found if any
 tree leaves it in one leaf. Trees are fitted on a hash sample of at most about ``SAMPLE`` vectors of a
-label (the documented bound), but every vector is routed through every tree. Leaves are compared by exact
+label (the documented bound), but every vector is routed through every tree. Where that leaves more than ``MOST`` vectors in
+a leaf, the leaf is split further in the same way, fitted on a sample of its own, round by round, until leaves are small
+or cannot be split: so leaves do not grow with the table. Leaves are compared by exact
 cosine in double precision. A leaf over ``BLOCK`` vectors is compared in pairs of blocks, each block pair
 a task of its own, so nothing is capped and no task is unbounded.
 
@@ -31,6 +33,8 @@ LEAF = 256
 #: A node of which both children would keep more than this share is a leaf: its vectors lie within the spill of each other.
 TIGHT = 0.65
 SAMPLE = 16_384
+#: Vectors in a leaf that is not split further.
+MOST = 4 * LEAF
 BLOCK = 2048
 ROUTE_ROWS = 4096
 _NODE_BITS = 40
@@ -49,12 +53,12 @@ def _unit(x):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_tree(x, tree: int, leaf: int, spill: float) -> dict[int, float]:
-    """Thresholds by node of a tree over unit vectors; nodes are numbered as in a heap."""
+def fit_tree(x, tree: int, leaf: int, spill: float, root: int = 1) -> dict[int, float]:
+    """Thresholds by node of a tree over unit vectors, or of what is below one of its nodes; nodes are numbered as in a heap."""
     import numpy as np
 
     cuts: dict[int, float] = {}
-    todo = [(1, np.arange(len(x)))]
+    todo = [(root, np.arange(len(x)))]
     while todo:
         node, rows = todo.pop()
         if len(rows) <= leaf or node >> (_NODE_BITS - 2):
@@ -69,11 +73,11 @@ def fit_tree(x, tree: int, leaf: int, spill: float) -> dict[int, float]:
     return cuts
 
 
-def route(x, tree: int, cuts: dict[int, float], spill: float) -> list[tuple[int, object]]:
+def route(x, tree: int, cuts: dict[int, float], spill: float, root: int = 1) -> list[tuple[int, object]]:
     """(leaf, row numbers) of all leaves that rows of ``x`` reach."""
     import numpy as np
 
-    out, todo = [], [(1, np.arange(len(x)))]
+    out, todo = [], [(root, np.arange(len(x)))]
     while todo:
         node, rows = todo.pop()
         if not len(rows):
@@ -131,7 +135,65 @@ def compare_leaf(key: int, ids, mult, x, leaves: list, cosine: float, half=None)
     return [(ids[used[i]], int(c)) for i, c in enumerate(counts) if c], [(ids[used[a]], ids[used[b]]) for a, b in spanning_edges(linked)]
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def refined(sent: DataFrame, path: str, leaf: int, spill: float, sample: int, most: int, rounds: int = 8) -> tuple[DataFrame, str]:
+    """``sent`` with leaves over ``most`` vectors split further, and its path; see :func:`near_duplicates` for its columns.
+
+    Each round fits a large leaf on a sample of at most about ``sample`` of its vectors and routes all of them. Leaves
+    that cannot be split, tight groups, stay.
+    """
+    place, kind = ["label", "dim", "key"], dict(sent.dtypes)
+    head = f"label {kind['label']}, dim int, key long"
+    at_first = path
+
+    def grow(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        k, least = int(key[2]), max(16, int(leaf * min(1.0, float(pdf["share"].iloc[0]))))
+        cuts = fit_tree(_unit(matrix(pdf["v"])), k >> _NODE_BITS, least, spill, k & ((1 << _NODE_BITS) - 1))
+        rows = [(*key, np.array(list(cuts), np.int64).tobytes(), np.array(list(cuts.values()), np.float64).tobytes())] if cuts else []
+        return pd.DataFrame(rows, columns=[*place, "nodes", "cuts"]).astype({"dim": "int32", "key": "int64"})
+
+    def send(key, a, b):
+        import numpy as np
+        import pandas as pd
+
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in (*place, "rep", "mult", "v")})
+        k = int(key[2])
+        tree, root = k >> _NODE_BITS, k & ((1 << _NODE_BITS) - 1)
+        cuts = dict(zip(np.frombuffer(b["nodes"].iloc[0], np.int64).tolist(), np.frombuffer(b["cuts"].iloc[0], np.float64).tolist(), strict=True))
+        found = route(_unit(matrix(a["v"])), tree, cuts, spill, root)
+        r = np.concatenate([rows for _, rows in found])
+        keys = np.concatenate([np.full(len(rows), (tree << _NODE_BITS) | node, np.int64) for node, rows in found])
+        return pd.DataFrame({"label": key[0], "dim": key[1], "key": keys, "rep": a["rep"].to_numpy()[r], "mult": a["mult"].to_numpy()[r], "v": [a["v"].iloc[i] for i in r]})
+
+    for turn in range(rounds):
+        large = sent.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+        some = sent.join(large, place).withColumn("share", F.lit(float(sample)) / F.col("n"))
+        some = some.where(F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1_000_000)) < F.col("share") * 1_000_000).select(*place, "v", "share")
+        model, model_path = materialise(some.groupBy(*place).applyInPandas(grow, f"{head}, nodes binary, cuts binary"), "trees")
+        if not model.limit(1).count():
+            discard(sent.sparkSession, model_path)
+            break
+        parts = large.join(model.select(*place), place).withColumn("parts", F.ceil(F.col("n") / ROUTE_ROWS).cast("int")).drop("n")
+        left = sent.join(parts, place).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        right = model.join(parts, place).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        moved = left.groupBy(*place, "part").cogroup(right.groupBy(*place, "part")).applyInPandas(send, f"{head}, rep {kind['rep']}, mult long, v {kind['v']}")
+        stay = sent.join(model.select(*place), place, "left_anti").select(*place, "rep", "mult", "v")
+        sent, path2 = materialise(stay.unionByName(moved), "leaves")
+        discard(sent.sparkSession, path)
+        discard(sent.sparkSession, model_path)
+        path = path2
+    if path == at_first:
+        return sent, path
+    own = sent.groupBy("label", "dim", "rep").agg(F.sort_array(F.collect_list("key")).alias("leaves"))  # a vector's leaves: a few for each tree
+    sent, path2 = materialise(sent.join(own, ["label", "dim", "rep"]).select(*place, "rep", "mult", "v", "leaves"), "leaves")
+    discard(sent.sparkSession, path)
+    return sent, path2
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF, sample: int = SAMPLE, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every row."""
     rows = df.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), F.col(label_col).alias("label"))
     valid = rows.where(usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
@@ -177,12 +239,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         order = np.lexsort((k, r))
         r, k = r[order], k[order]
         ends = np.cumsum(np.bincount(r, minlength=len(a)))
-        mine = [k[s:e].tobytes() for s, e in zip(np.concatenate(([0], ends[:-1])), ends)]
+        mine = [k[s:e] for s, e in zip(np.concatenate(([0], ends[:-1])), ends)]
         return pd.DataFrame({"label": key[0], "dim": key[1], "key": k, "rep": a["rep"].to_numpy()[r], "mult": a["mult"].to_numpy()[r], "v": [a["v"].iloc[i] for i in r], "leaves": [mine[i] for i in r]})
 
-    sent = left.groupBy("label", "dim", "part").cogroup(right.groupBy("label", "dim", "part")).applyInPandas(send, f"{head}, key long, rep {kind['rep']}, mult long, v {kind['v']}, leaves binary")
+    sent = left.groupBy("label", "dim", "part").cogroup(right.groupBy("label", "dim", "part")).applyInPandas(send, f"{head}, key long, rep {kind['rep']}, mult long, v {kind['v']}, leaves array<long>")
     sent, leaves_path = materialise(sent, "leaves")
     discard(df.sparkSession, trees_path)
+    sent, leaves_path = refined(sent, leaves_path, leaf, spill, sample, most)
 
     place = ["label", "dim", "key"]
     blocks = sent.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
@@ -196,7 +259,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         import pandas as pd
 
         own = pdf["own"].to_numpy()
-        counts, edges = compare_leaf(int(key[2]), pdf["rep"].to_numpy(), pdf["mult"].to_numpy(), matrix(pdf["v"]), [np.frombuffer(b, np.int64) for b in pdf["leaves"]], cosine, own if key[3] != key[4] else None)
+        counts, edges = compare_leaf(int(key[2]), pdf["rep"].to_numpy(), pdf["mult"].to_numpy(), matrix(pdf["v"]), pdf["leaves"].tolist(), cosine, own if key[3] != key[4] else None)
         return pd.DataFrame({"kind": [0] * len(counts) + [1] * len(edges), "a": [r[0] for r in counts] + [r[0] for r in edges], "b": [r[1] for r in counts] + [r[1] for r in edges]}).astype({"kind": "int32", "a": "int64", "b": "int64"})
 
     found, _ = materialise(pairs.groupBy(*place, "i", "j").applyInPandas(compare, "kind int, a long, b long"), "links")

@@ -2,7 +2,8 @@
 
 Fingerprints are 64-bit. They are cut into five blocks; two that differ in at most three bits
 agree on at least two blocks, so each distinct fingerprint is keyed by its ten pairs of blocks and
-only fingerprints with an equal key are compared. Copies collapse to one fingerprint first. Keys
+only fingerprints with an equal key are compared. Above some billions of distinct fingerprints there are more blocks, of which more
+must agree (:func:`blocks_for`), so that a run of even fingerprints stays short. Copies collapse to one fingerprint first. Keys
 are read as sorted runs: short runs are compared by shifting, longer ones as a matrix of which only
 a spanning forest of the links leaves the task. A run over ``RUN_LIMIT`` is never compared as a
 whole: its members are keyed again by finer blocks (fourteen, of which eleven must agree, so that a
@@ -188,6 +189,14 @@ def _compare(distance: int, limit: int | None):
     return run
 
 
+def blocks_for(n: int, distance: int = DISTANCE, run_limit: int = RUN_LIMIT, bits: int = BITS) -> int:
+    """The fewest blocks of which the agreeing ones leave runs of ``n`` even fingerprints an eighth of the limit at most."""
+    blocks = distance + 2
+    while blocks < 14 and n * 8 > run_limit * 2.0 ** (bits * (blocks - distance) / blocks):
+        blocks += 1
+    return blocks
+
+
 def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints (column ``fp``) that have the components of all links."""
     schema = "kind int, a long, b long, key long"
@@ -195,7 +204,8 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, run_limit:
     def compare(keyed, limit):
         return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_compare(distance, limit), schema)
 
-    keyed = distinct.select("fp", _keys(F.col("fp"), block_masks(distance + 2, distance)).alias("key"))
+    distinct, _ = materialise(distinct, "distinct")
+    keyed = distinct.select("fp", _keys(F.col("fp"), block_masks(blocks_for(distinct.count(), distance), distance)).alias("key"))
     first, _ = materialise(compare(keyed, run_limit), "runs")
     out = first.where("kind = 0").select("a", "b")
     if first.where("kind = 1").limit(1).count():

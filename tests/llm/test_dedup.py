@@ -103,11 +103,11 @@ def vectors():
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 20])
-def test_forest(spark, vectors, block):
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
+@pytest.mark.parametrize("block,sample,most", [(2048, forest.SAMPLE, forest.MOST), (20, forest.SAMPLE, 16), (2048, 48, 20)])
+def test_forest(spark, vectors, block, sample, most):
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit(1) for c in ("rep", "v", "key", "leaves", "n", "share")})
     got = collections.defaultdict(list)
-    for r in forest.near_duplicates(df, leaf=32, block=block).collect():
+    for r in forest.near_duplicates(df, leaf=32, block=block, sample=sample, most=most).collect():
         got[r["vec_id"]].append(tuple(r)[1:])
     good = [(i, v, l) for i, v, l in vectors if i is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v) and l is not None]
     x = np.array([v for _, v, _ in good])
@@ -204,3 +204,36 @@ def test_lengths_are_spaces_of_their_own(spark, indexed):
         want = sorted((np.sqrt(sum((a - b) ** 2 for a, b in zip(v, of[q]))), i) for i, v in rows if len(v) == length and i != q)[:10]
         assert [i for i, _ in got[q]] == [i for _, i in want]
     assert all(len(got[q]) == 10 for q in (0, 100, 200, 300, 1000)) and len(got[2000]) == 3
+
+
+def test_large_leaves_are_split_further(spark):
+    """A sample far smaller than the table leaves large leaves; they end up small, and no link of the tight groups is lost."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 12))
+    x[1400:] = x[:100] + rng.normal(size=(100, 12)) * 0.01
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.98
+    np.fill_diagonal(link, False)
+    got = {r["vec_id"]: r["n_links"] for r in forest.near_duplicates(df, leaf=32, sample=64, most=64).collect()}
+    assert got == dict(enumerate(link.sum(1).tolist()))
+    rows = [(0, 12, (t << forest._NODE_BITS) | 1, i, 1, v) for t in range(3) for i, v in enumerate(x.tolist())]
+    sent, path = common.materialise(spark.createDataFrame(rows, "label int, dim int, key long, rep long, mult long, v array<double>").withColumn("leaves", F.lit(None).cast("array<long>")), "test")
+    small, _ = forest.refined(sent, path, 32, 0.01, 64, 64)
+    assert small.groupBy("key").count().agg(F.max("count")).first()[0] <= 64
+    held = {r["rep"]: r["leaves"] for r in small.select("rep", "leaves").distinct().collect()}
+    assert {(r["rep"], r["key"]) for r in small.select("rep", "key").collect()} == {(i, k) for i, ks in held.items() for k in ks}
+
+
+def test_more_fingerprints_take_more_blocks():
+    assert simhash.blocks_for(10**6) == 5
+    sizes = [simhash.blocks_for(10**k) for k in range(6, 15)]
+    assert sizes == sorted(sizes) and sizes[-1] > 5
+    for b in (5, 6, 7, 8):  # two fingerprints three bits apart agree on one mask at least
+        masks = simhash.block_masks(b)
+        rng = random.Random(b)
+        for _ in range(300):
+            flips = 0
+            for k in rng.sample(range(64), 3):
+                flips |= 1 << k
+            assert any(not flips & m for m in masks)
