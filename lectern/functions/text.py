@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 # White space of Python's str, in the syntax that Java and RE2 share.
 WS = r"\t\n\x0B\f\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 # Invisible code points, curly quotes and long dashes, list bullets, punctuation.
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 CURLY, PLAIN = "\u201c\u201d\u2018\u2019\u2013\u2014", "\"\"''--"
@@ -112,7 +113,7 @@ def nfkc(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Python's ``str.strip()``."""
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$(?![\\s\\S])", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def normalized(text: Column, o: Options = Options()) -> Column:
@@ -143,8 +144,11 @@ def normalized(text: Column, o: Options = Options()) -> Column:
         text = sub(text, java(STRIKE_INNER, "s"), "~~$1~~")
     if o.normalize_list_bullet:
         text = sub(text, java(BULLET), "- ")
+    # white space becomes spaces along with the quotes, if nothing after that looks for it
+    early = o.unify_quotes_dashes and o.normalize_whitespace and not o.custom_regex_subs and not o.strip_punctuation
+    blanks = " " * len(_SPACES)
     if o.unify_quotes_dashes:
-        text = F.translate(text, CURLY, PLAIN)
+        text = F.translate(text, CURLY + _SPACES, PLAIN + blanks) if early else F.translate(text, CURLY, PLAIN)
     if o.lower_latin:
         text = F.lower(text)
     for pattern, repl in o.custom_regex_subs:
@@ -152,7 +156,8 @@ def normalized(text: Column, o: Options = Options()) -> Column:
     if o.strip_punctuation:
         text = sub(text, PUNCT, "")
     if o.normalize_whitespace:
-        text = strip(sub(text, f"[{WS}]+", " "))
+        text = text if early else F.translate(text, _SPACES, blanks)
+        text = F.btrim(sub(text, " {2,}", " "))
     return text
 
 
