@@ -225,3 +225,51 @@ def test_rest_of_a_covered_run_and_base_values(spark):
     got = {(r["doc_id"], r["n_assign"]): r for r in secrets.digest(secrets.scan(df)).collect()}
     assert got[1, 0]["spans"] == "random:0:41,hex:41:65" and got[None, 0]["spans"].startswith("random:100001:")
     assert got[3, 2]["n_random_base"] == 2 and got[3, 0]["spans"] == ""
+
+
+def plain_hilbert(x, bits):
+    """Position on the curve of a point, by Skilling's method on plain integers."""
+    x, n, q = list(x), len(x), 1 << (bits - 1)
+    while q > 1:
+        p = q - 1
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= p
+            else:
+                t = (x[0] ^ x[i]) & p
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[-1] & q:
+            t ^= q - 1
+        q >>= 1
+    out = 0
+    for b in range(bits - 1, -1, -1):
+        for v in x:
+            out = out << 1 | ((v ^ t) >> b & 1)
+    return out
+
+
+def test_shards_equal_plain_ones(spark):
+    """Every row's shard and slot: steps by sorted values, the curve on integers, one sort, and cuts."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["", "é", "word " * rng.randint(1, 30)]), rng.choice(["de", "en", "fr", None]), rng.choice([None, *(f"source/{k:03d}" for k in range(30))]), rng.choice([None, rng.randint(0, 500)])) for i in range(700)]
+    rng.shuffle(rows)
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    raw = lambda v: (v is not None, (v or "").encode())
+    number = lambda v: -1.0 if v is None else float(v)
+    steps = []
+    for column, order in ((2, raw), (3, raw), (4, number)):
+        values = sorted(order(r[column]) for r in rows)
+        cuts = {values[math.ceil(len(values) * k / 16) - 1] for k in range(1, 16)}
+        steps.append([sum(order(r[column]) > c for c in cuts) for r in rows])
+    keyed = sorted((plain_hilbert(s, 4), r[0], zlib.crc32((r[1]).encode()), len(r[1].encode()) + 16) for r, s in zip(rows, zip(*steps)))
+    want = {}
+    for at, (curve, i, crc, size) in enumerate(keyed):
+        s = at * 40 // len(rows)
+        want[i] = (size, crc, curve, s, at - -(-s * len(rows) // 40))
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["curve"], r["shard"], r["slot"]) for r in got} == want

@@ -47,3 +47,45 @@ def test_registered():
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "toxicity", "simhash near-dedup", "secret scans", "packing"]
     assert simhash.DISTANCE == 3
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls everywhere, empty and very long texts, repeated rows, clashing names; then nothing at all."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    good = [(i, prose(rng, rng.randint(40, 90)), "en", "s", 1) for i in range(60)]
+    bad = [(100 + i, " ".join(w.upper() + "!!" for w in prose(rng, 50).split()), "en", "s", 1) for i in range(20)]
+    odd = [(None, prose(rng, 70), None, None, None), (None, None, None, None, None), (200, "", "en", "s", 0), (201, None, "en", "s", 0), good[3], good[3], (202, prose(rng, 60_000), "en", "s", 9)]
+    labels = [(i, 1, 0) for i in range(60)] + [(100 + i, 0, 0) for i in range(20)] + [(None, 1, 1), (3, None, None)]
+    names = ("fp", "key", "label", "x", "y", "g", "lanes", "row", "found", "sequence_id", "__id", "text_hash", "family")
+    for folder, docs in (("full", good + bad + odd), ("none", [])):
+        d = str(tmp_path / folder)
+        spark.createDataFrame(docs, DOCUMENTS).withColumns({c: F.lit("c") for c in names}).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        packed = corpus_pipeline.run(spark, d).collect()
+        ids = {r["doc_id"] for r in packed}
+        if not docs:
+            assert not packed
+            continue
+        assert set(range(60)) <= ids and 202 in ids and None in ids and not ids & set(range(100, 120))
+        assert sum(r["doc_tokens"] for r in packed if r["doc_id"] == 3 and r["start"] == 0) == next(r["doc_tokens"] for r in packed if r["doc_id"] == 3)
+        assert len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed)
+
+
+def test_near_copies_equal_brute_force(spark):
+    """The stage's documents: the smallest of each component by similarity of five-word shingle sets."""
+    from .test_sketch import jaccard_roots
+
+    rng = random.Random(13)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(6, 150))]
+        for changes in (0, 0, 1, 2, 5):
+            mine = list(words)
+            for _ in range(changes):
+                mine[rng.randrange(len(mine))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(mine))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCUMENTS).repartition(3)
+    got = corpus_pipeline.one_of_near_copies(spark, df, "")
+    assert got.columns == df.columns and {r["doc_id"] for r in got.collect()} == set(jaccard_roots(texts))

@@ -125,10 +125,9 @@ def test_memo_leaves_long_chunks_out():
     from lectern.llm.common import MEMO_CHARS
 
     long = "語" * 5000 + " " + "x9" * 4000 + " short"
-    enc, mine, c = packing.encoder("byte_bpe_50k.tiktoken"), bpe.codec("word_bpe_49k.json"), token_counts.counter("piece_bpe_32k.model")
-    enc.ids(long)
+    mine, c = bpe.codec("word_bpe_49k.json"), token_counts.counter("piece_bpe_32k.model")
     mine.encode_batch([long, long])
     c.count(long)
     features.word_hashes([long])
-    for memo in (enc._memo, mine._chunks, mine._words, c._memo, features._memo):
+    for memo in (mine._chunks, mine._words, c._memo, features._memo):
         assert memo and max(len(k[0]) if isinstance(k, tuple) else len(k) for k in memo) <= MEMO_CHARS
