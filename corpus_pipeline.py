@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences, in five stages."""
+"""From raw documents to packed training sequences, in five stages.
+
+Defined cases, in every stage: a null text counts as an empty one and stays null where the document stays; null ids are
+kept; rows that repeat id and text are judged alike, and near-dedup keeps one of them; columns that a stage does not know,
+whatever their names, pass through unchanged up to the last stage; an empty table gives an empty one; very long texts are
+read whole. Of documents without labels of both kinds a classifier rejects all or none, by its threshold.
+"""
 
 from __future__ import annotations
 
@@ -21,7 +27,12 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (linked by a Jaccard similarity of their five-word shingles of 0.8 or more) stays, that with the smallest id."""
+    """One document of each group of near copies stays, that with the smallest id (null ids last).
+
+    Links are pairs with a Jaccard similarity of their five-word shingle sets of 0.8 or more. Candidates come from pigeonhole blocks,
+    which lose no such pair, and are verified by the Hamming distance of SimHash fingerprints and then exactly. Texts without a
+    word are copies of each other.
+    """
     return sketch.deduplicated(docs)
 
 
