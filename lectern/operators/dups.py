@@ -33,22 +33,3 @@ def repeated_lines(df: DataFrame, keys: list[str], text: str = "text", tables: s
     full = covered.join(sizes, [*keys, "table_no"]).where(F.col("n_covered") / F.col("n_cells") >= ratio).select(*keys, "table_no")
     marked = good.join(full, [*keys, "table_no"], "left_semi").select(*keys, "line_no").distinct()
     return lines.join(marked, [*keys, "line_no"], "left_semi")
-
-
-def repeated_lines_of(text: str, tables: list[list[list[str]]], ratio: float = 0.9) -> list[str]:
-    """The same for one text, in line order."""
-    from ..functions.text import normalize
-
-    norm = lambda s: normalize(s).strip()
-    lines = text.split("\n")
-    split = []
-    for line in lines:
-        t = line.strip()
-        split.append([n for n in map(norm, t.strip("|").split("|") if "|" in t else t.split()) if n])
-    marked: set[int] = set()
-    for table in tables:
-        cells = {n for row in table for c in row if (n := norm(c))}
-        own = {i: hits for i, parts in enumerate(split) if (hits := [p for p in parts if p in cells]) and len(hits) >= max(1, len(parts) // 2)}
-        if own and len({p for hits in own.values() for p in hits}) / len(cells) >= ratio:
-            marked |= own.keys()
-    return [lines[i] for i in sorted(marked)]

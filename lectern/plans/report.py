@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.markup import clean_matrix
 from ..functions.text import normalize
 from ..operators.align import line_pairs, relaxed, three_way
-from ..operators.dups import repeated_lines_of
+from ..operators.dups import repeated_lines
 from ..operators.tables import similarity
 from ..sources.corpus import parsed
 from .evaluate import _rows
@@ -32,21 +32,20 @@ def _show(tokens: list[str]) -> str:
     return html.escape("".join("".join(VISIBLE.get(c, c) for c in t) if t.isspace() else t for t in tokens))
 
 
+#: Class of a piece of the ground truth and of the parser's text, by kind of difference.
+MARKS = {"replace": ("sub", "sub"), "delete": ("gone", None), "insert": (None, "new")}
+
+
 def pair_html(gt: str, pred: str) -> tuple[str, str]:
     """Both texts with their differences marked, white space within a difference made visible."""
-    a, b = (re.findall(r"\S+|\s+", t) for t in (gt, pred))
-    left, right = [], []
-    for tag, i, ii, j, jj in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if tag == "equal":
-            same = html.escape("".join(a[i:ii]))
-            left.append(same)
-            right.append(same)
-            continue
-        if i < ii:
-            left.append(f'<span class="{"sub" if tag == "replace" else "gone"}">{_show(a[i:ii])}</span>')
-        if j < jj:
-            right.append(f'<span class="{"sub" if tag == "replace" else "new"}">{_show(b[j:jj])}</span>')
-    return "".join(left), "".join(right)
+    words = [re.findall(r"\S+|\s+", t) for t in (gt, pred)]
+    shown: tuple[list[str], list[str]] = ([], [])
+    for tag, *ends in difflib.SequenceMatcher(None, *words, autojunk=False).get_opcodes():
+        for side, mark in enumerate(MARKS.get(tag, (None, None))):
+            piece = words[side][ends[2 * side] : ends[2 * side + 1]]
+            if piece:
+                shown[side].append(f'<span class="{mark}">{_show(piece)}</span>' if mark else html.escape("".join(piece)))
+    return "".join(shown[0]), "".join(shown[1])
 
 
 def _dup(shown: str, line: str | None, repeated: set[str]) -> str:
@@ -121,7 +120,7 @@ def grid_html(gt: list[list[str]], pred: list[list[str]]) -> str:
 
 
 def page(doc_id: str, kind: str, sides: dict[str, dict], scores: dict[str, float | None]) -> str:
-    """``sides[stage]``: gt, gt_tables, pred, tables, sheets; a stage that is missing is left out."""
+    """``sides[stage]``: gt, gt_tables, pred, tables, sheets, repeated; a stage that is missing is left out."""
     out = [f"<h1>{html.escape(doc_id)}</h1>", '<p class="cards">' + "".join(f"<span>{k}: {'-' if v is None else f'{v:.4f}'}</span>" for k, v in scores.items()) + "</p>"]
     first = sides.get("before") or sides.get("after") or {}
     if kind == "xlsx":
@@ -134,7 +133,7 @@ def page(doc_id: str, kind: str, sides: dict[str, dict], scores: dict[str, float
         texts[s], logs[s], repeated[s] = "", [], set()
         if x:
             texts[s], logs[s] = relaxed(x["pred"], x["gt"]) if kind == "docx" else (x["pred"], [])
-            repeated[s] = {normalize(t).strip() for t in repeated_lines_of(x["pred"], x["tables"])}
+            repeated[s] = {normalize(t).strip() for t in x["repeated"]}
     lines = {s: [t for t in texts[s].split("\n") if t.strip()] for s in texts}
     gts = {s: [t for t in x["gt"].split("\n") if t.strip()] for s, x in sides.items()}
     if len({x["gt"] for x in sides.values()}) > 1:
@@ -162,7 +161,10 @@ def _whole(title: str, parts: list[str]) -> str:
 def pages(gt: DataFrame, pred: DataFrame, wide: DataFrame) -> DataFrame:
     """``doc_id, html`` of every document of ``wide`` (see :func:`.evaluate.per_document`)."""
     both = gt.where("text is not null").join(pred, ["doc_id", "stage"]).withColumn("out", parsed(F.col("raw")))
-    side = F.struct("stage", F.col("text").alias("gt"), F.col("tables").alias("gt_tables"), F.col("out.text").alias("pred"), F.col("out.tables").alias("tables"), F.col("out.sheets").alias("sheets"))
+    keys = ["doc_id", "stage"]
+    dups = repeated_lines(both.where("type <> 'xlsx'").select(*keys, F.col("out.text").alias("text"), F.col("out.tables").alias("tables")), keys)
+    both = both.join(dups.groupBy(*keys).agg(F.collect_list("line").alias("repeated")), keys, "left")
+    side = F.struct("stage", F.col("text").alias("gt"), F.col("tables").alias("gt_tables"), F.col("out.text").alias("pred"), F.col("out.tables").alias("tables"), F.col("out.sheets").alias("sheets"), "repeated")
     docs = both.groupBy("doc_id", "type").agg(F.sort_array(F.collect_list(side)).alias("sides"))  # two stages at most
     docs = docs.join(wide.select("doc_id", F.struct(*[c for c in wide.columns if re.match("(wer|teds)_", c)]).alias("s")), "doc_id")
 
@@ -170,7 +172,7 @@ def pages(gt: DataFrame, pred: DataFrame, wide: DataFrame) -> DataFrame:
     def run(doc: pd.Series, kind: pd.Series, sides: pd.Series, s: pd.DataFrame) -> pd.Series:
         out = []
         for i, (d, k, x) in enumerate(zip(doc, kind, sides, strict=True)):
-            by = {e["stage"]: {"gt": e["gt"] or "", "pred": e["pred"], "gt_tables": _rows(e["gt_tables"]), "tables": _rows(e["tables"]), "sheets": _rows(e["sheets"])} for e in x}
+            by = {e["stage"]: {"gt": e["gt"] or "", "pred": e["pred"], "gt_tables": _rows(e["gt_tables"]), "tables": _rows(e["tables"]), "sheets": _rows(e["sheets"]), "repeated": e["repeated"] if e["repeated"] is not None else []} for e in x}
             by = {n: by[n] for n in ("before", "after") if n in by}
             out.append(page(d, k, by, {c: None if pd.isna(s[c].iloc[i]) else float(s[c].iloc[i]) for c in s.columns}))
         return pd.Series(out)
