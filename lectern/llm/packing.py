@@ -15,13 +15,12 @@ numbered by partition, and by order within it.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_CHARS, small_batches
+from .common import small_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -29,22 +28,13 @@ END_ID = 1
 GROUP_ROWS = 4096
 #: Full windows in a batch that leaves a task.
 FULL_ROWS = 1024
-#: Memoised chunks a Python worker keeps.
-MEMO_ENTRIES = 200_000
 
-_GAP = re.compile(r"\s |\s\Z| \s|\A\s")
 _SPECIAL = "<|endoftext|>"
 _encoders: dict[str, "ByteBpe"] = {}
 
 
 class ByteBpe:
-    """Whole-text ids of the byte-level BPE, as little-endian unsigned 32-bit bytes.
-
-    The pre-tokeniser never joins a non-space to the space after it, so between a space with a
-    non-space on both sides and the text before it lies a token boundary in any context; ids of
-    such chunks are memoised. Texts with other white space next to a space, or with the special
-    string, are encoded in one go.
-    """
+    """Whole-text ids of the byte-level BPE, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, vocabulary: str = "byte_bpe_50k.tiktoken", special_id: int = 50256):
         import base64
@@ -55,34 +45,9 @@ class ByteBpe:
         with open(public_tokenizers.path(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._enc = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={_SPECIAL: special_id})
-        self._memo: dict[str, bytes] = {}
-
-    def _pack(self, ids) -> bytes:
-        import array
-
-        out = array.array("I", ids)
-        assert out.itemsize == 4
-        return out.tobytes()
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _SPECIAL in text or _GAP.search(text):
-            return self._pack(self._enc.encode(text, allowed_special="all"))
-        if len(self._memo) > MEMO_ENTRIES:
-            self._memo.clear()
-        memo, plain = self._memo, self._enc.encode_ordinary
-        first, *rest = text.split(" ")
-        out = [self._pack(plain(first))]
-        get = memo.get
-        for w in rest:
-            x = get(w)
-            if x is None:
-                x = self._pack(plain(" " + w))
-                if len(w) <= MEMO_CHARS:
-                    memo[w] = x
-            out.append(x)
-        return b"".join(out)
+        return self._enc.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() if text else b""
 
 
 def encoder(name: str) -> ByteBpe:
