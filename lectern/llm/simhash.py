@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, small_batches
+from .common import connected_components, materialise, scratch, small_batches
 
 BITS = 64
 SEED = 42
@@ -243,7 +243,10 @@ def representatives(df: DataFrame, prints: DataFrame, component: DataFrame, id_c
 def _components(df: DataFrame, id_col: str, text_col: str, words: int, distance: int, run_limit: int) -> tuple[DataFrame, DataFrame]:
     """The documents' fingerprints, and ``(fp, root, component_id)`` of every fingerprint."""
     prints, _ = materialise(fingerprints(df, id_col, text_col, words), "fingerprints")
-    return prints, components_of(prints, fingerprint_links(prints.select("fp").distinct(), distance, run_limit))
+    with scratch(df.sparkSession) as made:
+        component = components_of(prints, fingerprint_links(prints.select("fp").distinct(), distance, run_limit))
+        made.pop()  # the components, which come last, are read on
+    return prints, component
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:

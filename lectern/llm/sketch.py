@@ -33,7 +33,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, small_batches
+from .common import connected_components, materialise, scratch, small_batches
 from .simhash import components_of, representatives, shingle_hashes
 
 WORDS = 5
@@ -459,10 +459,13 @@ def similar(df: DataFrame, prints: DataFrame, near: DataFrame, id_col: str, text
 
 def _components(df: DataFrame, id_col: str, text_col: str, words: int, distance: int, run_limit: int) -> tuple[DataFrame, DataFrame]:
     prints, _ = materialise(sketches(df, id_col, text_col, words), "sketches")
-    shared, _ = materialise(shared_keys(keyed(df, text_col, words)), "shared-keys")
-    found = similar(df, prints, links(prints, shared, distance, run_limit), id_col, text_col, words, run_limit=run_limit)
-    prints = prints.select("doc_id", "text_hash", F.col("text_hash").alias("fp"))
-    return prints, components_of(prints, found)
+    with scratch(df.sparkSession) as made:
+        shared, _ = materialise(shared_keys(keyed(df, text_col, words)), "shared-keys")
+        found = similar(df, prints, links(prints, shared, distance, run_limit), id_col, text_col, words, run_limit=run_limit)
+        prints = prints.select("doc_id", "text_hash", F.col("text_hash").alias("fp"))
+        component = components_of(prints, found)
+        made.pop()  # the components, which come last, are read on
+    return prints, component
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE, run_limit: int = RUN_LIMIT) -> DataFrame:
