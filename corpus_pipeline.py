@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import features, packing, quality, secrets, sketch, toxicity
-from lectern.llm.common import materialise, table
+from lectern.llm.common import discard, materialise, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over the whole table of documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
