@@ -386,11 +386,7 @@ def links(prints: DataFrame, shared: DataFrame, distance: int = DISTANCE, run_li
     first_lanes = (F.col("lanes")[0].alias("x"), F.col("lanes")[1].alias("y"))
     joined, _ = materialise(connected_components(verified(shared.where(early), nodes.select("fp", *first_lanes, F.xxhash64("fp").alias("g")))), "joined")
     known = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", *first_lanes, F.xxhash64(F.coalesce("root", "fp")).alias("g"))
-    # a key whose sets are all of one group has nothing to tell
-    late = shared.where(~early).join(known.select("fp", "g"), "fp")
-    mixed = late.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("key")
-    rest, _ = materialise(late.join(mixed, "key", "left_semi").select("key", "fp"), "mixed-keys")
-    return joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(rest, known))
+    return joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(shared.where(~early), known))
 
 
 def _similar(sets, similarity: float):
