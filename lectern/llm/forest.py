@@ -169,12 +169,16 @@ def refined(sent: DataFrame, path: str, leaf: int, spill: float, sample: int, mo
         return pd.DataFrame({"label": key[0], "dim": key[1], "key": keys, "rep": a["rep"].to_numpy()[r], "mult": a["mult"].to_numpy()[r], "v": [a["v"].iloc[i] for i in r]})
 
     for turn in range(rounds):
-        large = sent.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+        large, large_path = materialise(sent.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "large")
+        if not large.limit(1).count():
+            discard(sent.sparkSession, large_path)
+            break
         some = sent.join(large, place).withColumn("share", F.lit(float(sample)) / F.col("n"))
         some = some.where(F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1_000_000)) < F.col("share") * 1_000_000).select(*place, "v", "share")
         model, model_path = materialise(some.groupBy(*place).applyInPandas(grow, f"{head}, nodes binary, cuts binary"), "trees")
         if not model.limit(1).count():
-            discard(sent.sparkSession, model_path)
+            for p in (model_path, large_path):
+                discard(sent.sparkSession, p)
             break
         parts = large.join(model.select(*place), place).withColumn("parts", F.ceil(F.col("n") / ROUTE_ROWS).cast("int")).drop("n")
         left = sent.join(parts, place).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -182,8 +186,8 @@ def refined(sent: DataFrame, path: str, leaf: int, spill: float, sample: int, mo
         moved = left.groupBy(*place, "part").cogroup(right.groupBy(*place, "part")).applyInPandas(send, f"{head}, rep {kind['rep']}, mult long, v {kind['v']}")
         stay = sent.join(model.select(*place), place, "left_anti").select(*place, "rep", "mult", "v")
         sent, path2 = materialise(stay.unionByName(moved), "leaves")
-        discard(sent.sparkSession, path)
-        discard(sent.sparkSession, model_path)
+        for p in (path, model_path, large_path):
+            discard(sent.sparkSession, p)
         path = path2
     if path == at_first:
         return sent, path
