@@ -5,10 +5,12 @@ curve is computed, rows are numbered along the curve, and the numbering is cut i
 at most one apart, and each file covers a compact box of the dimensions.
 
 The scan reads texts once, to measure them; ids, sizes, checksums and dimensions are written to the shared
-folder with a number for each row, and everything after reads that table. Numbering is distributed: a cell
-with many rows is split by the row numbers into parts of about ``SPLIT_ROWS``, so that a hot source, rows all
-in one cell, and rows that repeat an id or are equal throughout still spread over tasks. Cells, 4096 at most,
-get offsets from their counts, parts get theirs within a cell, and rows are numbered within their part.
+folder with a number for each row, and everything after reads that table. The steps' cuts are exact quantiles
+of all rows: distinct values are counted and their counts summed in order, in ranges of values if there are
+many. Numbering is distributed: a cell with many rows is split by the row numbers into parts of about
+``SPLIT_ROWS``, so that a hot source, rows all in one cell, and rows that repeat an id or are equal throughout
+still spread over tasks. Cells, 4096 at most, get offsets from their counts, parts get theirs within a cell,
+and rows are numbered within their part.
 
 Defined cases: null metadata come first in a dimension's order; null text has no bytes; repeated
 rows each get a slot; nulls in the id are kept; columns that are not named are not read; an empty
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import discard, materialise
+from .common import discard, materialise, scratch
 
 BITS = 4
 SHARDS = 40
@@ -31,8 +33,6 @@ OVERHEAD = 16
 DIMENSIONS = ("lang", "source", "n_chars")
 #: Rows in a file that :func:`write_shards` writes.
 FILE_ROWS = 50_000
-#: Rows, at most about, whose texts decide the cuts of text dimensions; every row is placed by its whole text.
-SAMPLE = 4096
 
 
 def ordinal(col: Column, kind: T.DataType) -> Column:
@@ -54,17 +54,45 @@ def quantised(x: Column, cuts: list[float] | list[str | None]) -> Column:
     return out
 
 
-def text_cuts(base: DataFrame, names: list[str], n: int, steps: int) -> dict[str, list[str | None]]:
-    """Quantiles of text columns, from a bounded sample of rows by a hash."""
-    if not names or not n:
-        return {a: [] for a in names}
-    h = F.xxhash64("doc_id", "text_crc32", "size")
-    drawn = base.where(F.pmod(h, F.lit(1_000_000)) < int(min(1.0, 0.9 * SAMPLE / n) * 1_000_000) + 1).orderBy(h, *names).limit(SAMPLE).select(*names).collect()
-    out = {}
-    for a in names:
-        values = sorted((r[a] for r in drawn), key=lambda v: (v is not None, (v or "").encode("utf-8", "surrogatepass")))
-        out[a] = [values[-(-len(values) * k // steps) - 1] for k in range(1, steps)] if values else []
-    return out
+def exact_cuts(base: DataFrame, names: list[str], steps: int, split_rows: int) -> tuple[int, list[list[float] | list[str | None]]]:
+    """The number of rows, and for each of the columns the values at ranks ``ceil(rows * k / steps)`` of all rows in its order.
+
+    The columns' values with their counts are one sequence, ordered by column and value. It is summed in ranges of about
+    ``split_rows`` values: the ranges' sums, few, tell which ranges hold the ranks, and only these are summed value by value.
+    """
+    texts = {a for a, kind in base.dtypes if kind == "string"}
+    order = ["__d", "__x", "__t"]
+
+    def value(i, a):
+        x, t = (F.lit(None), F.col(a)) if a in texts else (F.col(a), F.lit(None))
+        return F.struct(F.lit(i).alias("__d"), x.cast("double").alias("__x"), t.cast("string").alias("__t"))
+
+    with scratch(base.sparkSession):
+        each = base.select(F.explode(F.array(*(value(i, a) for i, a in enumerate(names)))).alias("__v")).select("__v.*")
+        counts, _ = materialise(each.groupBy(*order).agg(F.count(F.lit(1)).alias("__n")), "values")
+        values, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("__n"), F.lit(0))).first()
+        parts = -(-values // split_rows)
+        if parts > 1:
+            counts, _ = materialise(counts.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+        else:
+            counts = counts.withColumn("__part", F.lit(0))
+        n = total // len(names)
+        ranks = [d * n + -(-n * k // steps) for d in range(len(names)) for k in range(1, steps)] if n else []
+        before, at = {}, 0
+        for part, size in counts.groupBy("__part").agg(F.sum("__n")).orderBy("__part").collect():
+            if any(at < r <= at + size for r in ranks):
+                before[part] = at
+            at += size
+        if not ranks:
+            return 0, [[] for _ in names]
+        starts = F.create_map(*(F.lit(x).cast("long") for pair in before.items() for x in pair))
+        own = W.Window.partitionBy("__part").orderBy(*order).rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+        to = F.sum("__n").over(own) + F.element_at(starts, F.col("__part").cast("long"))
+        met = F.filter(F.array(*(F.lit(r).cast("long") for r in ranks)), lambda r: (r > F.col("__to") - F.col("__n")) & (r <= F.col("__to")))
+        held = counts.where(F.col("__part").isin(list(before))).withColumn("__to", to).select(*order, F.explode(met).alias("__r")).collect()
+    at_rank = {r["__r"]: r["__t"] if names[r["__d"]] in texts else r["__x"] for r in held}
+    found = [at_rank[r] for r in ranks]
+    return n, [found[d * (steps - 1) : (d + 1) * (steps - 1)] for d in range(len(names))]
 
 
 def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
@@ -126,12 +154,8 @@ def measured(df: DataFrame, id_col: str, text_col: str, dims: tuple[str, ...], *
 def numbered(base: DataFrame, dims: int, shards: int, split_rows: int) -> DataFrame:
     """``base``, which has a number ``__row`` for each row, with ``curve``, ``shard`` and ``slot``."""
     q = [f"__q{i}" for i in range(dims)]
-    steps = 1 << BITS
-    texts = [o for o, kind in base.dtypes if o.startswith("__o") and kind == "string"]
-    stats = base.agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(f"__o{i}", [k / steps for k in range(1, steps)], 2000).alias(a) for i, a in enumerate(q) if f"__o{i}" not in texts)).first()
-    n = stats["n"]
-    cuts = text_cuts(base, texts, n, steps)
-    rows = base.withColumns({a: quantised(F.col(f"__o{i}"), cuts[o] if (o := f"__o{i}") in cuts else stats[a] or []) for i, a in enumerate(q)})
+    n, cuts = exact_cuts(base, [f"__o{i}" for i in range(dims)], 1 << BITS, split_rows)
+    rows = base.withColumns({a: quantised(F.col(f"__o{i}"), cuts[i]) for i, a in enumerate(q)})
 
     cells = rows.groupBy(*q).agg(F.count(F.lit(1)).alias("__n"))
     cells = cells.select(*q, hilbert_index([F.col(a) for a in q]).alias("curve"), F.ceil(F.col("__n") / split_rows).cast("int").alias("__parts"), "__n")

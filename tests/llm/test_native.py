@@ -273,3 +273,35 @@ def test_shards_equal_plain_ones(spark):
         s = at * 40 // len(rows)
         want[i] = (size, crc, curve, s, at - -(-s * len(rows) // 40))
     assert {r["doc_id"]: (r["size"], r["text_crc32"], r["curve"], r["shard"], r["slot"]) for r in got} == want
+
+
+@pytest.mark.parametrize("split_rows", [sharding.SPLIT_ROWS, 700])
+def test_steps_are_exact_on_many_rows(spark, split_rows):
+    """Cuts are quantiles of all rows, however many values there are; those of a sample or a sketch differ."""
+    rng = random.Random(21)
+    n = 9000
+    names, numbers = list(range(n)), list(range(n))
+    rng.shuffle(names)
+    rng.shuffle(numbers)
+    rows = [(i, None if names[i] < 100 else f"é/{names[i]:05d}", rng.choice(["de", "en", "en", None]), numbers[i]) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long").withColumn("text", F.lit("x"))
+    got = {r["doc_id"]: (r["curve"], r["shard"], r["slot"]) for r in sharding.shard(df, split_rows=split_rows).collect()}
+    steps = []
+    for column, order in ((2, lambda v: (v is not None, v or "")), (1, lambda v: (v is not None, v or "")), (3, float)):
+        values = sorted(order(r[column]) for r in rows)
+        cuts = {values[math.ceil(n * k / 16) - 1] for k in range(1, 16)}
+        steps.append([sum(order(r[column]) > c for c in cuts) for r in rows])
+    keyed = sorted((plain_hilbert(s, 4), r[0]) for r, s in zip(rows, zip(*steps)))
+    assert got == {i: (curve, s, at - -(-s * n // 40)) for at, (curve, i) in enumerate(keyed) for s in [at * 40 // n]}
+
+
+def test_cuts_count_every_row(spark):
+    """Rare values count, a value of most rows takes most steps, and values on the edges of ranges are found."""
+    rows = spark.range(7001).select(F.when(F.col("id") < 6000, F.lit(5.0)).otherwise(F.col("id") + 0.5).alias("__o0"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("__o1"))
+    data = rows.collect()
+    n, cuts = sharding.exact_cuts(rows.repartition(5), ["__o0", "__o1"], 16, 50)
+    assert n == 7001
+    for got, column, order in ((cuts[0], "__o0", float), (cuts[1], "__o1", lambda v: (v is not None, v or ""))):
+        values = sorted((r[column] for r in data), key=order)
+        assert got == [values[math.ceil(n * k / 16) - 1] for k in range(1, 16)]
+    assert sharding.exact_cuts(rows.limit(0), ["__o0", "__o1"], 16, 50) == (0, [[], []])
