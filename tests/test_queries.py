@@ -22,3 +22,32 @@ def test_decks_of_short_slides(spark, tmp_path):
     turns = [(c, t, " ".join(f"w{k}" for k in range((c * t) % 9))) for c in range(12) for t in range(3 + c)]
     spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert rows(spark, tmp_path, "slide_align") == sql_rows(tmp_path, "slide_align", "conversations")
+
+
+def test_rows_that_cannot_match_are_not_compared(monkeypatch):
+    """Blank cells and missing rows: few of the 81,000 pairs are compared, and the distance is the plain one."""
+    from lectern.operators import tables
+
+    gt = [[str(1000 + i), "O", "urgent"] for i in range(300)]
+    pred = [[k, "" if i % 3 == 0 else s, p] for i, (k, s, p) in enumerate(gt) if i % 10 != 7]
+    fold, n = tables._fold, []
+    monkeypatch.setattr(tables, "_fold", lambda *a, **k: (n.append(1), fold(*a, **k))[1])
+    assert tables.table_distance(gt, pred) == 4.0 * 30 + sum(i % 3 == 0 and i % 10 != 7 for i in range(300))
+    assert len(n) < 12_000
+
+
+def test_bounded_distance_against_the_plain_one():
+    import random
+
+    from lectern.operators import tables
+
+    rng = random.Random(5)
+    weight, one = (lambda r: 1.0 + len(r)), (lambda _: 1.0)
+    change = lambda a, b: 0.0 if a == b else tables._fold(a, b, one, one, lambda x, y: 1.0 - tables.similarity(x, y))
+    for _ in range(400):
+        cell = lambda: rng.choice(["", "a", "ab", "abc", "xyz"])
+        gt = [[cell() for _ in range(rng.randint(0, 3))] for _ in range(rng.randint(0, 8))]
+        pred = [[c if rng.random() > 0.2 else cell() for c in r] for r in gt if rng.random() > 0.2] + [[cell()] for _ in range(rng.randint(0, 1))]
+        if rng.random() < 0.3:
+            rng.shuffle(pred)
+        assert tables.table_distance(gt, pred) == tables._fold(gt, pred, weight, weight, change)
