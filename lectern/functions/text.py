@@ -192,27 +192,33 @@ _STRAIGHT = str.maketrans(CURLY, PLAIN)
 
 
 def normalize(text: str, o: Options = Options()) -> str:
+    """A step runs only on texts that have a character it looks for; words of letters, digits and low lines know but one step."""
+    if not o.custom_regex_subs and text.replace("_", "").isalnum() and (text.isascii() or not o.unify_unicode or unicodedata.is_normalized("NFKC", text)):
+        return text.lower() if o.lower_latin else text
     s = _STEPS
-    if o.unify_unicode:
+    if o.unify_unicode and not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    if o.strip_zero_width:
+    if o.strip_zero_width and not text.isascii() and any(c in text for c in INVISIBLE):
         text = text.translate(_DROP)
-    for on, name, repl in (
-        (o.strip_link_image, "link", r"\1"), (o.strip_inline_code, "code", r"\1"), (o.strip_blockquote, "quote", ""), (o.strip_hr, "rule", ""),
-        (o.strip_separator_line, "dash", ""), (o.strip_headers, "heading", ""),
+    for on, name, repl, signs in (
+        (o.strip_link_image, "link", r"\1", "["), (o.strip_inline_code, "code", r"\1", "`"), (o.strip_blockquote, "quote", "", ">"), (o.strip_hr, "rule", "", "-*_"),
+        (o.strip_separator_line, "dash", "", "-–—"), (o.strip_headers, "heading", "", "#"),
     ):
-        if on:
+        if on and any(c in text for c in signs):
             text = s[name].sub(repl, text)
-    text = text.replace("**", "") if o.strip_bold else s["bold"].sub(r"**\1**", text)
-    if o.drop_strike_content:
+    if "**" in text:
+        text = text.replace("**", "") if o.strip_bold else s["bold"].sub(r"**\1**", text)
+    if "~~" not in text:
+        pass
+    elif o.drop_strike_content:
         text = s["gone"].sub("", text)
     elif o.strip_strike:
         text = text.replace("~~", "")
     else:
         text = s["strike"].sub(r"~~\1~~", text)
-    if o.normalize_list_bullet:
+    if o.normalize_list_bullet and any(c in text for c in BULLETS):
         text = s["bullet"].sub("- ", text)
-    if o.unify_quotes_dashes:
+    if o.unify_quotes_dashes and not text.isascii() and any(c in text for c in CURLY):
         text = text.translate(_STRAIGHT)
     if o.lower_latin:
         text = text.lower()

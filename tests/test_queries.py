@@ -51,3 +51,12 @@ def test_bounded_distance_against_the_plain_one():
         if rng.random() < 0.3:
             rng.shuffle(pred)
         assert tables.table_distance(gt, pred) == tables._fold(gt, pred, weight, weight, change)
+
+
+def test_repeated_lines_shuffle_nothing(spark):
+    from lectern.operators import dups
+
+    df = spark.createDataFrame([(1, "kim 4\nx", [[["kim", "4"]]]), (None, "kim 4", [[["kim", None], ["4"]]])], "id int, text string, tables array<array<array<string>>>")
+    found = dups.repeated_lines(df, ["id"])
+    assert sorted(map(tuple, found.collect()), key=repr) == [(1, 0, "kim 4"), (None, 0, "kim 4")]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
