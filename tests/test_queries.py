@@ -60,3 +60,36 @@ def test_repeated_lines_shuffle_nothing(spark):
     found = dups.repeated_lines(df, ["id"])
     assert sorted(map(tuple, found.collect()), key=repr) == [(1, 0, "kim 4"), (None, 0, "kim 4")]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slides_without_common_words_need_no_edit_matrix(monkeypatch):
+    """Only slides that share words after their first ones are compared word by word."""
+    from lectern.operators import align
+
+    gt = [f"## slide {i}\n" + " ".join(f"w{i}_{k}" for k in range(10)) for i in range(120)]
+    distance, n = align.distance, []
+    monkeypatch.setattr(align, "distance", lambda *a: (n.append(1), distance(*a))[1])
+    pairs = align.aligned_slides(gt, [s for i, s in enumerate(gt) if i % 3 != 1])["pairs"]
+    assert [p["kind"] for p in pairs] == ["gt_only" if i % 3 == 1 else "match" for i in range(120)] and len(n) < 200
+
+
+def test_edits_that_the_lengths_ask_for_need_no_way_back(monkeypatch):
+    from lectern.operators import align
+
+    monkeypatch.setattr(align, "_walk", None)
+    gt = [f"w{i}" for i in range(2000)]
+    assert align.sdi(gt[::2], gt) == (0, 1000, 0) and align.sdi(gt, gt[1::2]) == (0, 0, 1000)
+
+
+def test_batches_are_small_whatever_the_session_asks_for(spark, tmp_path):
+    """Queries over texts hold at most so many rows and bytes in a Python worker; smaller settings stay."""
+    spark.createDataFrame([(0, 0, "a b c d"), (0, 1, None), (1, 0, "")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "100000")
+    got = rows(spark, tmp_path, "token_alignment")
+    assert int(spark.conf.get(key)) <= 1000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
+    assert [r[2:4] for r in got] == [(0, "match"), (1, "match"), (2, "sub"), (3, "match")]
+    spark.conf.set(key, "7")
+    rows(spark, tmp_path, "token_alignment")
+    assert spark.conf.get(key) == "7"
+    spark.conf.unset(key)
