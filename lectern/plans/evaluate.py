@@ -7,11 +7,14 @@ Cost grows with the product of both lengths, so rows are dealt by hash of docume
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import zip_longest
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.markup import clean_matrix
+from ..functions.batches import nested, small_batches
+from ..functions.markup import clean_matrix, split_output
 from ..functions.text import PROFILES, Profile, tokenizer
 from ..operators import align, tables
 from ..sources.corpus import STAGES, parsed
@@ -21,10 +24,14 @@ METRICS = (("wer", True), ("teds", False))
 METRIC_NAMES = {"wer": "wer", "teds": "teds_content"}
 DIRECTIONS = {True: "감소(개선)", False: "증가(개선)"}
 SCORES = "struct<wer:double,teds:double>"
+#: Parts of a parser's output, as :func:`split_output` gives them.
+OUTPUT = ("text", "tables", "sheets")
+UNITS = "array<struct<unit:int,teds:double,n_gt_rows:int,n_pred_rows:int>>"
+_UNITS = pa.list_(pa.struct([("unit", pa.int32()), ("teds", pa.float64()), ("n_gt_rows", pa.int32()), ("n_pred_rows", pa.int32())]))
 
 
 def _rows(x) -> list:
-    return [[[c or "" for c in r] for r in t] for t in (x if x is not None else [])]
+    return [[[c or "" for c in r or ()] for r in t or ()] for t in x or ()]
 
 
 def score(kind: str, text: str, slides, gt_tables, pred: dict, profile: Profile) -> tuple[float | None, float | None]:
@@ -46,17 +53,17 @@ def scores(gt: DataFrame, pred: DataFrame, profile: str = "default") -> DataFram
     p = PROFILES[profile]
     tokenizer(p.tokenizer)
 
-    @F.pandas_udf(SCORES)
-    def run(kind: pd.Series, text: pd.Series, slides: pd.Series, tabs: pd.Series, out: pd.DataFrame) -> pd.DataFrame:
+    @F.arrow_udf(SCORES)
+    def run(kind: pa.Array, text: pa.Array, slides: pa.Array, tabs: pa.Array, raw: pa.Array) -> pa.Array:
         rows = [
-            score(k, t or "", list(s) if s is not None else [], _rows(m), {"text": o, "tables": _rows(a), "sheets": _rows(b)}, p)
-            for k, t, s, m, o, a, b in zip(kind, text, slides, tabs, out["text"], out["tables"], out["sheets"], strict=True)
+            score(k, t or "", s or [], _rows(m), dict(zip(OUTPUT, split_output(o))), p)
+            for k, t, s, m, o in zip(kind.to_pylist(), text.to_pylist(), nested(slides), nested(tabs), raw.to_pylist(), strict=True)
         ]
-        return pd.DataFrame(rows, columns=["wer", "teds"], dtype="float64")
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.float64()) for i in range(2)], ["wer", "teds"])
 
+    small_batches(gt.sparkSession)
     both = gt.where("text is not null").join(pred.where("raw is not null"), ["doc_id", "stage"]).repartition("doc_id", "stage")
-    both = both.withColumn("out", parsed(F.col("raw")))
-    done = both.select("doc_id", "stage", run("type", "text", "slides", "tables", "out").alias("s")).select("doc_id", "stage", "s.*")
+    done = both.select("doc_id", "stage", run("type", "text", "slides", "tables", "raw").alias("s")).select("doc_id", "stage", "s.*")
     return gt.select("doc_id", "stage", "type", "dual_gt").join(done, ["doc_id", "stage"], "left")
 
 
@@ -91,20 +98,26 @@ def run(gt: DataFrame, pred: DataFrame, profile: str = "default") -> tuple[DataF
 def slide_units(gt: DataFrame, pred: DataFrame, profile: str = "default") -> DataFrame:
     """Decks by slide: which slide met which section, and its errors."""
     p = PROFILES[profile]
-    both = gt.where("type = 'pptx' and slides is not null").join(pred, ["doc_id", "stage"])
+    small_batches(gt.sparkSession)
+    both = gt.where("type = 'pptx' and slides is not null").join(pred, ["doc_id", "stage"]).repartition("doc_id", "stage")
     s = align.slide_wer(F.col("slides"), parsed(F.col("raw"))["text"], p.tokenizer, p.options)
     return both.select("doc_id", "stage", s.alias("s")).select("doc_id", "stage", "s.aligned", F.posexplode_outer("s.pairs").alias("seq", "x")).select("doc_id", "stage", "aligned", "seq", "x.*")
 
 
 def sheet_units(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """Workbooks by sheet: sheets and tables paired by position, missing ones empty, pairs of empty ones left out."""
-    from ..functions.markup import cleaned
-
-    empty = F.expr("cast(array() as array<array<string>>)")
-    g = gt.where("type = 'xlsx'").join(pred, ["doc_id", "stage"], "left_semi").select("doc_id", "stage", F.posexplode("tables").alias("unit", "g"))
-    p = pred.join(gt.where("type = 'xlsx'").select("doc_id", "stage"), ["doc_id", "stage"]).select("doc_id", "stage", F.posexplode(parsed(F.col("raw"))["sheets"]).alias("unit", "p"))
-    both = g.join(p, ["doc_id", "stage", "unit"], "full").select("doc_id", "stage", "unit", cleaned(F.coalesce("g", empty)).alias("g"), cleaned(F.coalesce("p", empty)).alias("p")).where("size(g) > 0 or size(p) > 0")
-    return both.select("doc_id", "stage", "unit", tables.table_similarity(F.col("p"), F.col("g"))["teds_content"].alias("teds"), F.size("g").alias("n_gt_rows"), F.size("p").alias("n_pred_rows"))
+    @F.arrow_udf(UNITS)
+    def run(tabs: pa.Array, raw: pa.Array) -> pa.Array:
+        out = []
+        for m, o in zip(nested(tabs), raw.to_pylist(), strict=True):
+            sides = zip_longest(_rows(m), split_output(o)[2] if o is not None else (), fillvalue=())
+            pairs = [(i, clean_matrix(g), clean_matrix(p)) for i, (g, p) in enumerate(sides)]
+            out.append([{"unit": i, "teds": tables.teds(p, g)["teds_content"], "n_gt_rows": len(g), "n_pred_rows": len(p)} for i, g, p in pairs if g or p])
+        return pa.array(out, _UNITS)
+
+    small_batches(gt.sparkSession)
+    both = gt.where("type = 'xlsx'").join(pred, ["doc_id", "stage"]).repartition("doc_id", "stage")
+    return both.select("doc_id", "stage", F.explode(run("tables", "raw")).alias("x")).select("doc_id", "stage", "x.*")
 
 
 def by_profile(gt: DataFrame, pred: DataFrame, names: tuple[str, ...] = tuple(PROFILES)) -> DataFrame:

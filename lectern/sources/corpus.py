@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,11 +75,12 @@ def parsed(raw: Column) -> Column:
     """A parser's output as its text and its tables (``tables`` for pairing, ``sheets`` without empty ones)."""
     from ..functions.markup import split_output
 
-    m = "array<array<array<string>>>"
+    m, kind = "array<array<array<string>>>", pa.list_(pa.list_(pa.list_(pa.string())))
 
-    @F.pandas_udf(f"struct<text:string,tables:{m},sheets:{m}>")
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None, None) if t is None else split_output(t) for t in s], columns=["text", "tables", "sheets"])
+    @F.arrow_udf(f"struct<text:string,tables:{m},sheets:{m}>")
+    def run(s: pa.Array) -> pa.Array:
+        columns = zip(*((None, None, None) if t is None else split_output(t) for t in s.to_pylist()))
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(list(columns) or [[]] * 3, (pa.string(), kind, kind))], ["text", "tables", "sheets"])
 
     return run(raw)
 

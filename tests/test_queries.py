@@ -93,3 +93,25 @@ def test_batches_are_small_whatever_the_session_asks_for(spark, tmp_path):
     rows(spark, tmp_path, "token_alignment")
     assert spark.conf.get(key) == "7"
     spark.conf.unset(key)
+
+
+def test_scores_parse_where_they_score(spark):
+    """One Python function for a row: the parser's tables don't go back to Spark between parsing and scoring."""
+    from lectern.plans import evaluate
+
+    gt = spark.createDataFrame([("d", "before", "docx", False, "a b", None, [[["x"]]])], "doc_id string, stage string, type string, dual_gt boolean, text string, slides array<string>, tables array<array<array<string>>>")
+    pred = spark.createDataFrame([("d", "before", "a b\n| x | y |\n")], "doc_id string, stage string, raw string")
+    s = evaluate.scores(gt, pred)
+    assert s._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in s.collect()] == [("d", "before", "docx", False, 0.0, 0.75)]
+
+
+def test_sheets_are_paired_where_the_workbook_is(spark):
+    """One join of outputs with ground truth; units by position, missing ones empty, pairs of empty ones left out."""
+    from lectern.plans import evaluate
+
+    gt = spark.createDataFrame([("d", "before", "xlsx", [[["a"]], [["nan"]], [["b"], ["c"]]]), ("e", "before", "xlsx", None)], "doc_id string, stage string, type string, tables array<array<array<string>>>")
+    pred = spark.createDataFrame([("d", "before", "| a | |\n\nx\n\n| null | |\n"), ("e", "before", "| q | r |")], "doc_id string, stage string, raw string")
+    units = evaluate.sheet_units(gt, pred)
+    assert sorted(map(tuple, units.collect())) == [("d", "before", 0, 1.0, 1, 1), ("d", "before", 2, 0.0 + 1 - 4 / 5, 2, 0), ("e", "before", 0, 1 - 3 / 4, 0, 1)]
+    assert units._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
