@@ -115,3 +115,13 @@ def test_sheets_are_paired_where_the_workbook_is(spark):
     units = evaluate.sheet_units(gt, pred)
     assert sorted(map(tuple, units.collect())) == [("d", "before", 0, 1.0, 1, 1), ("d", "before", 2, 0.0 + 1 - 4 / 5, 2, 0), ("e", "before", 0, 1 - 3 / 4, 0, 1)]
     assert units._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_bare_tables_need_no_parser(monkeypatch):
+    from lectern.functions import markup
+
+    html = "<table>\n<tr><td>a &lt;b</td><th> nan </th></tr>\n<tr></tr><tr><td></td></tr></table>"
+    want = markup._Rows()
+    want.feed(html)
+    monkeypatch.setattr(markup, "_Rows", None)
+    assert markup.matrix_of_html(html) == [["a <b", ""], [], [""]] == [[markup.cell_text("".join(c)) for c in r] for r in want.texts]
