@@ -125,3 +125,45 @@ def test_bare_tables_need_no_parser(monkeypatch):
     want.feed(html)
     monkeypatch.setattr(markup, "_Rows", None)
     assert markup.matrix_of_html(html) == [["a <b", ""], [], [""]] == [[markup.cell_text("".join(c)) for c in r] for r in want.texts]
+
+
+def test_differences_of_pages_are_those_of_difflib():
+    """Blocks found by words are difflib's, and white space is not compared with all white space."""
+    import difflib
+    import random
+    import re
+
+    from lectern.plans import report
+
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice([" ", "  ", "\t"]) + rng.choice("abcdefgh") for _ in range(rng.randint(0, 20))) + rng.choice(["", " "])
+    for _ in range(500):
+        a = text()
+        b = text() if rng.random() < 0.5 else "".join(c for c in a if rng.random() > 0.1)
+        words = [re.findall(r"\S+|\s+", t) for t in (a, b)]
+        assert report._Pieces(None, *words, autojunk=False).get_opcodes() == difflib.SequenceMatcher(None, *words, autojunk=False).get_opcodes()
+
+    class Counted(str):
+        n = 0
+
+        def __eq__(self, other):
+            Counted.n += 1
+            return str.__eq__(self, other)
+
+        __hash__ = str.__hash__
+
+    words = [[Counted(t) for i in side for t in (f"w{i}", " ")] for side in (range(300), [i for i in range(300) if i % 7])]
+    report._Pieces(None, *words, autojunk=False).get_opcodes()
+    assert Counted.n < 300 * 300 / 2
+
+
+def test_pages_join_once(spark):
+    from lectern.plans import evaluate, report
+
+    gt = spark.createDataFrame([("d", "before", "docx", False, "kim 4", None, [[["kim", "4"]]])], "doc_id string, stage string, type string, dual_gt boolean, text string, slides array<string>, tables array<array<array<string>>>")
+    pred = spark.createDataFrame([("d", "before", "kim 4\n| kim | 4 |"), ("d", "after", None)], "doc_id string, stage string, raw string")
+    wide = evaluate.per_document(evaluate.scores(gt, pred))
+    pages = report.pages(gt, pred, wide.localCheckpoint())
+    assert pages._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # outputs, scores
+    page = pages.collect()[0]["html"]
+    assert page.count('class="dup"') == 1 and "<li>kim 4</li>" in page
