@@ -11,7 +11,7 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,9 +104,17 @@ PROFILES = {
 
 def nfkc(text: Column) -> Column:
     """NFKC. Spark has no expression for it: an Arrow UDF, or the JVM's normaliser from a SQL session where it may be called."""
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
+    @F.arrow_udf("string")
+    def run(s: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in s.to_pylist()], pa.string())
+
+    return run(text)
+
+
+def _normalized_rows(text: Column, o: Options) -> Column:
+    @F.arrow_udf("string")
+    def run(s: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else normalize(t, o) for t in s.to_pylist()], pa.string())
 
     return run(text)
 
@@ -117,8 +125,14 @@ def strip(text: Column) -> Column:
 
 
 def normalized(text: Column, o: Options = Options()) -> Column:
-    """All steps that are switched on. With ``unify_unicode`` off the plan is native throughout."""
+    """All steps that are switched on. With ``unify_unicode`` off the plan is native throughout.
+
+    With it the text is in Python anyway, and the other steps take less time there than as columns; only patterns
+    of the caller's own, which are Java's, need those.
+    """
     sub = F.regexp_replace
+    if o.unify_unicode and not o.custom_regex_subs:
+        return _normalized_rows(text, o)
     if o.unify_unicode:
         text = nfkc(text)
     if o.strip_zero_width:
@@ -187,8 +201,6 @@ _STEPS = {
     "link": _py(LINK), "code": _py(CODE), "quote": _py(QUOTE), "rule": _py(RULE), "dash": _py(DASH_LINE), "heading": _py(HEADING),
     "bold": _py(BOLD_INNER, re.DOTALL), "strike": _py(STRIKE_INNER, re.DOTALL), "gone": _py(STRIKE_WHOLE, re.DOTALL), "bullet": _py(BULLET), "punct": re.compile(PUNCT),
 }
-_DROP = dict.fromkeys(map(ord, INVISIBLE))
-_STRAIGHT = str.maketrans(CURLY, PLAIN)
 
 
 def normalize(text: str, o: Options = Options()) -> str:
@@ -198,8 +210,9 @@ def normalize(text: str, o: Options = Options()) -> str:
     s = _STEPS
     if o.unify_unicode and not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    if o.strip_zero_width and not text.isascii() and any(c in text for c in INVISIBLE):
-        text = text.translate(_DROP)
+    if o.strip_zero_width and not text.isascii():
+        for c in INVISIBLE:  # one by one is far faster than ``translate``
+            text = text.replace(c, "")
     for on, name, repl, signs in (
         (o.strip_link_image, "link", r"\1", "["), (o.strip_inline_code, "code", r"\1", "`"), (o.strip_blockquote, "quote", "", ">"), (o.strip_hr, "rule", "", "-*_"),
         (o.strip_separator_line, "dash", "", "-–—"), (o.strip_headers, "heading", "", "#"),
@@ -218,8 +231,9 @@ def normalize(text: str, o: Options = Options()) -> str:
         text = s["strike"].sub(r"~~\1~~", text)
     if o.normalize_list_bullet and any(c in text for c in BULLETS):
         text = s["bullet"].sub("- ", text)
-    if o.unify_quotes_dashes and not text.isascii() and any(c in text for c in CURLY):
-        text = text.translate(_STRAIGHT)
+    if o.unify_quotes_dashes and not text.isascii():
+        for c, straight in zip(CURLY, PLAIN):
+            text = text.replace(c, straight)
     if o.lower_latin:
         text = text.lower()
     for pattern, repl in o.custom_regex_subs:

@@ -167,3 +167,21 @@ def test_pages_join_once(spark):
     assert pages._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # outputs, scores
     page = pages.collect()[0]["html"]
     assert page.count('class="dup"') == 1 and "<li>kim 4</li>" in page
+
+
+def test_normalisation_with_nfkc_is_one_function_and_steps_agree(spark):
+    """The text that NFKC needs in Python stays there for all steps; the native steps give the same without NFKC."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lectern.functions import text
+
+    rng = random.Random(6)
+    pieces = ["**", "~~", "> ", "- ", "[a](b)", "`", "#", "\n", " ", "x", "AΣ", "—", "“", "​", "---", "* * *", "é", "　", "・ ", "_", "ﬁ"]
+    texts = [None, "", *("".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(300))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select("t", text.normalized(F.col("t")).alias("all"), text.normalized(F.col("t"), text.Options(unify_unicode=False)).alias("native"))
+    assert "regexp_replace" not in df.select(text.normalized(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    for t, done, native in both.collect():
+        assert (done, native) == ((None, None) if t is None else (text.normalize(t), text.normalize(t, text.Options(unify_unicode=False))))
