@@ -58,12 +58,16 @@ def _bound(a: list, b: list, drop, add, change) -> float:
     return cost
 
 
+def _longest(row: list[str]) -> int:
+    return max(map(len, row), default=0)
+
+
 def _fold(a: list, b: list, drop, add, change, bounded: bool = False) -> float:
     """Least cost of turning sequence ``a`` into ``b``, two rows at a time.
 
     Equal ends are matched outright: leaving one out instead costs at least as much, since changing an
     element costs at least the difference of the two weights. ``change`` is only asked where it can still win.
-    ``bounded``: by that difference, prefixes and suffixes of different weights cost something too; places where
+    ``bounded``, for rows of cells: by that difference, prefixes and suffixes of different weights cost something too; places where
     both together exceed the cost of a known way are left out, since no best way goes through them.
     """
     start, n = 0, min(len(a), len(b))
@@ -96,11 +100,15 @@ def _fold(a: list, b: list, drop, add, change, bounded: bool = False) -> float:
 
 
 def _banded(a: list, b: list, shrink: list[float], grow: list[float], change, most: float) -> float:
-    """:func:`_fold` over the places that a way of cost ``most`` can reach."""
+    """:func:`_fold` over the places that a way of cost ``most`` can reach.
+
+    Rows that differ cost at least what two cells cost that differ by one character, so most pairs need no comparison.
+    """
     never = float("inf")
     left = [0.0, *accumulate(shrink)]
     right = [0.0, *accumulate(grow)]
     rest = left[-1] - right[-1]
+    longest = [_longest(y) for y in b]
 
     def reach(done: float) -> tuple[int, int]:
         """Places j where |done - right[j]| + |what is left| is ``most`` at the utmost: an interval, since right rises."""
@@ -111,7 +119,7 @@ def _banded(a: list, b: list, shrink: list[float], grow: list[float], change, mo
     lo, hi = reach(0.0)
     row = [right[j] if lo <= j < hi else never for j in range(len(b) + 1)]
     for i, x in enumerate(a):
-        gone = shrink[i]
+        gone, own = shrink[i], _longest(x)
         lo, hi = reach(left[i + 1])
         new = [never] * (len(b) + 1)
         for j in range(lo, hi):
@@ -119,7 +127,9 @@ def _banded(a: list, b: list, shrink: list[float], grow: list[float], change, mo
             if j:
                 best = min(best, new[j - 1] + grow[j - 1])
                 if row[j - 1] < best:
-                    best = min(best, row[j - 1] + change(x, b[j - 1]))
+                    least = 0.0 if x == b[j - 1] else 0.5 / max(own, longest[j - 1], 1)
+                    if row[j - 1] + least + abs(rest - left[i + 1] + right[j]) <= most:
+                        best = min(best, row[j - 1] + change(x, b[j - 1]))
             new[j] = best
         row = new
     return row[-1]

@@ -1,7 +1,7 @@
 """Scores per document and stage, and their summary.
 
 Everything stays a DataFrame: ``gt(doc_id, stage, type, dual_gt, text, slides, tables)`` and
-``pred(doc_id, stage, raw)`` are joined once; rows without both sides never reach Python.
+``pred(doc_id, stage, raw)`` are joined once; rows without both sides are neither parsed nor scored.
 Cost grows with the product of both lengths, so rows are dealt by hash of document and stage before scoring.
 """
 
@@ -56,15 +56,14 @@ def scores(gt: DataFrame, pred: DataFrame, profile: str = "default") -> DataFram
     @F.arrow_udf(SCORES)
     def run(kind: pa.Array, text: pa.Array, slides: pa.Array, tabs: pa.Array, raw: pa.Array) -> pa.Array:
         rows = [
-            score(k, t or "", s or [], _rows(m), dict(zip(OUTPUT, split_output(o))), p)
+            score(k, t, s or [], _rows(m), dict(zip(OUTPUT, split_output(o))), p) if t is not None and o is not None else (None, None)
             for k, t, s, m, o in zip(kind.to_pylist(), text.to_pylist(), nested(slides), nested(tabs), raw.to_pylist(), strict=True)
         ]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.float64()) for i in range(2)], ["wer", "teds"])
 
     small_batches(gt.sparkSession)
-    both = gt.where("text is not null").join(pred.where("raw is not null"), ["doc_id", "stage"]).repartition("doc_id", "stage")
-    done = both.select("doc_id", "stage", run("type", "text", "slides", "tables", "raw").alias("s")).select("doc_id", "stage", "s.*")
-    return gt.select("doc_id", "stage", "type", "dual_gt").join(done, ["doc_id", "stage"], "left")
+    both = gt.join(pred, ["doc_id", "stage"], "left").repartition("doc_id", "stage")
+    return both.select("doc_id", "stage", "type", "dual_gt", run("type", "text", "slides", "tables", "raw").alias("s")).select("doc_id", "stage", "type", "dual_gt", "s.*")
 
 
 def per_document(long: DataFrame) -> DataFrame:

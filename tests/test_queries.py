@@ -185,3 +185,22 @@ def test_normalisation_with_nfkc_is_one_function_and_steps_agree(spark):
     assert "regexp_replace" not in df.select(text.normalized(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     for t, done, native in both.collect():
         assert (done, native) == ((None, None) if t is None else (text.normalize(t), text.normalize(t, text.Options(unify_unicode=False))))
+
+
+def test_missing_rows_need_no_comparison_of_cells(monkeypatch):
+    from lectern.operators import tables
+
+    monkeypatch.setattr(tables, "SequenceMatcher", None)
+    gt = [[str(10_000 + i), "O", "urgent"] for i in range(60)]
+    assert tables.table_distance(gt, [r for i, r in enumerate(gt) if i % 4]) == 60.0
+
+
+def test_scores_read_the_ground_truth_once(spark):
+    """One join; a side that is missing gives nulls."""
+    from lectern.plans import evaluate
+
+    gt = spark.createDataFrame([("d", s, "docx", False, t, None, []) for s, t in (("before", "a b"), ("after", None), ("x", "c"))], "doc_id string, stage string, type string, dual_gt boolean, text string, slides array<string>, tables array<array<array<string>>>")
+    pred = spark.createDataFrame([("d", "before", "a b"), ("d", "after", "a"), ("e", "before", "q")], "doc_id string, stage string, raw string")
+    s = evaluate.scores(gt, pred)
+    assert s._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert sorted((tuple(r) for r in s.collect()), key=repr) == [("d", "after", "docx", False, None, None), ("d", "before", "docx", False, 0.0, None), ("d", "x", "docx", False, None, None)]
